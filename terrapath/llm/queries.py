@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, reshard
+from . import chat, decontam, langid, reshard, secret_scan, sentencepiece_offsets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reshard.reshard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform(F.split("base", ","), lambda x: F.substring_index(x, ":", 1))
+    count = lambda k: F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_sentencepiece_offsets(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return sentencepiece_offsets.digests(table(spark, sf_dir, "documents"), model or model_path())
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start_word", "window_words")
@@ -38,9 +66,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_min_cost_flow_resharding": op3_min_cost_flow_resharding,
+    "op6_secret_scan": op6_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_sentencepiece_offsets": op10_sentencepiece_offsets,
 }
 
 ORACLE_SQL = {
@@ -57,7 +88,7 @@ hit AS (SELECT DISTINCT d, doc_id, nw, p, item, item_id, n, dsh.k FROM dsh JOIN
 st AS (SELECT d, doc_id, nw, item, item_id, n, k, unnest(range(greatest(1, p - (n - k)), greatest(1, least(p, nw - n + 1)) + 1)) AS s FROM hit),
 win AS (SELECT d, doc_id, item, item_id, n, k, s FROM st JOIN im USING (item, item_id, n, k) GROUP BY d, doc_id, item, item_id, n, k, s, m HAVING count(*) >= 0.8 * m - 1e-9),
 ws AS (SELECT win.d, win.doc_id, win.item, win.item_id, win.n, win.k, win.s, dsh.h, count(*) AS c FROM win JOIN dsh ON win.d = dsh.d AND win.k = dsh.k AND dsh.p BETWEEN win.s AND win.s + win.n - win.k GROUP BY ALL),
-wm AS (SELECT d, item, s, sum(c) AS mw, sum(least(ws.c, coalesce(ic.c, 0))) AS shared FROM ws LEFT JOIN ic USING (item, h) GROUP BY d, item, s),
+wm AS (SELECT d, item, s, sum(ws.c) AS mw, sum(least(ws.c, coalesce(ic.c, 0))) AS shared FROM ws LEFT JOIN ic USING (item, h) GROUP BY d, item, s),
 sc AS (SELECT dd.doc_id, im.item_id, im.n, wm.s, shared / (mw + m - shared) AS sim FROM wm JOIN im USING (item) JOIN dd USING (d)),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s, n DESC) AS rn FROM sc WHERE sim >= 0.8 - 1e-12)
 SELECT doc_id, item_id, round(sim, 9) AS similarity, CAST(s - 1 AS BIGINT) AS start_word, CAST(n AS BIGINT) AS window_words FROM best WHERE rn = 1
