@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, reshard, secret_scan, sentencepiece_offsets, warc
+from . import ann, chat, chosen_path, decontam, langid, reshard, secret_scan, sentencepiece_offsets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_sentencepiece_offsets(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return sentencepiece_offsets.digests(table(spark, sf_dir, "documents"), model or model_path())
 
@@ -80,12 +84,23 @@ QUERIES = {
     "op3_min_cost_flow_resharding": op3_min_cost_flow_resharding,
     "op5_chunked_warc": op5_chunked_warc,
     "op6_secret_scan": op6_secret_scan,
+    "op7_chosen_path_join": op7_chosen_path_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_sentencepiece_offsets": op10_sentencepiece_offsets,
 }
 
 ORACLE_SQL = {
+    "op7_chosen_path_join": r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, list_aggregate(w[p:p+least(5, len(w))-1], 'string_agg', ' ') AS h FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM t WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+r(id, m) AS (SELECT id, id FROM t UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.id),
+g AS (SELECT r.id, min(t.doc_id) AS class_id FROM r JOIN t ON t.id = r.m GROUP BY r.id)
+SELECT t.doc_id, g.class_id, count(l.b) AS n_links FROM t JOIN g USING (id) LEFT JOIN l ON l.a = t.id GROUP BY t.id, t.doc_id, g.class_id
+""",
     "op8_benchmark_decontamination": r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
