@@ -114,3 +114,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     found = scored.withColumn("similarity", sim).where(F.col("similarity") >= similarity - 1e-12)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("ns"), "len")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.ns")).cast("long").alias("start_word"), F.col("best.len").cast("long").alias("window_words"))
+
+
+def drop_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """documents, same columns, without those that hold a benchmark item."""
+    found = written(find_leaks(documents, benchmark, similarity).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return documents.join(broadcast_if_small(found), documents["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")

@@ -168,3 +168,12 @@ def predict(documents: DataFrame, model: Model, text: str = "text") -> DataFrame
     return base.mapInArrow(run, schema)
 
 
+
+
+def keep_identified(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """documents, same columns, without those of no language (`und`) or scored below `least`; a null lang is filled in."""
+    marked = predict(documents.withColumnsRenamed({c: f"__{c}" for c in documents.columns if c in ("lang_pred", "score")}), model)
+    kept = marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    if "lang" in documents.columns:
+        kept = kept.withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"}).select(*documents.columns)

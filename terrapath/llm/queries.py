@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chosen_path, decontam, langid, reshard, secret_scan, sentencepiece_offsets, warc
+from . import ann, chat, chosen_path, decontam, langid, reshard, secret_scan, sentencepiece_offsets, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("copy")
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_cross_polytope_search": op2_cross_polytope_search,
     "op3_min_cost_flow_resharding": op3_min_cost_flow_resharding,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_chunked_warc": op5_chunked_warc,
     "op6_secret_scan": op6_secret_scan,
     "op7_chosen_path_join": op7_chosen_path_join,

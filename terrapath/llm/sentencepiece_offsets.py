@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -75,18 +76,16 @@ class Normalizer:
             yield data[at : at + size], at, at + size
             at += size
 
-    def __call__(self, text: str) -> tuple[bytes, list[int]]:
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and one past the last, where its source starts."""
         data, space = text.encode(), SPACE if self.escape else b" "
         if not self.map.units and not self.collapse:  # code points stay; only blanks widen
             if not data:
-                return b"", [0]
-            out = data.replace(b" ", space)
-            align = list(range(len(data)))
-            if len(out) != len(data):
-                align = [i for i, c in enumerate(data) for _ in range(len(space) if c == 32 else 1)]
-            head = [0] * len(space) if self.prefix else []
-            return (space if self.prefix else b"") + out, [*head, *align, len(data)]
+                return b"", np.zeros(1, np.int64)
+            times = np.where(np.frombuffer(data, np.uint8) == 32, len(space), 1)
+            head = np.zeros(len(space) if self.prefix else 0, np.int64)
+            align = np.concatenate([head, np.repeat(np.arange(len(data)), times), [len(data)]])
+            return (space if self.prefix else b"") + data.replace(b" ", space), align
         parts = [(r, a, b) for r, a, b in self.pieces(data)]
         if self.collapse:
             while parts and parts[0][0] == b" ":
@@ -94,7 +93,7 @@ class Normalizer:
             while parts and parts[-1][0].rstrip(b" ") == b"":
                 parts.pop()
         if not parts:
-            return b"", [0]
+            return b"", np.zeros(1, np.int64)
         out, align = bytearray(), []
         if self.prefix:
             out += space
@@ -113,7 +112,7 @@ class Normalizer:
         if self.collapse:
             while out.endswith(space):
                 del out[-len(space) :], align[-len(space) :]
-        return bytes(out), [*align, end]
+        return bytes(out), np.array([*align, end])
 
 
 class Encoder:
@@ -129,27 +128,24 @@ class Encoder:
         kinds = type(proto.pieces[0])
         self.unknown = self.lib.unk_id()
         # normalised bytes that a piece covers: byte pieces 1, control pieces none
-        self.width = [1 if p.type == kinds.BYTE else 0 if p.type in (kinds.CONTROL, kinds.UNKNOWN) else len(p.piece.encode()) for p in proto.pieces]
+        self.width = np.array([1 if p.type == kinds.BYTE else 0 if p.type in (kinds.CONTROL, kinds.UNKNOWN) else len(p.piece.encode()) for p in proto.pieces])
 
     def ids(self, text: str | None) -> list[int]:
         return self.lib.encode(text or "", add_eos=True)
 
-    def spans(self, text: str | None, ids: list[int]) -> list[tuple[int, int]]:
-        """Source byte span of every id; the end id's is empty and stands at the end.
+    def spans(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Source byte starts and stops of every id; the end id's span is empty and stands at the end.
 
         Where the model gives unknown pieces, their widths come from the library's own pieces."""
         normal, align = self.normalize(text or "")
-        widths = [self.width[i] for i in ids]
+        widths = self.width[ids]
         if self.unknown in ids:
             names = self.lib.encode(text or "", out_type=str, add_eos=True)
-            widths = [len(s.encode()) if i == self.unknown else w for s, i, w in zip(names, ids, widths, strict=True)]
-        out, at = [], 0
-        for w in widths:
-            out.append((align[at], align[at + w]))
-            at += w
-        if at != len(normal):
-            raise ValueError(f"pieces cover {at} of {len(normal)} normalised bytes")
-        return out
+            widths = np.array([len(s.encode()) if i == self.unknown else w for s, i, w in zip(names, ids, widths, strict=True)])
+        ends = np.cumsum(widths)
+        if ends[-1] != len(normal):
+            raise ValueError(f"pieces cover {ends[-1]} of {len(normal)} normalised bytes")
+        return align[ends - widths], align[ends]
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
@@ -161,21 +157,26 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(documents: DataFrame, model_path: str, spans: bool = True) -> DataFrame:
-    """(doc_id, ids, spans) with spans array<struct<start, end>> of source bytes."""
+def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
+
+
+def encode(documents: DataFrame, model_path: str) -> DataFrame:
+    """documents' rows as (doc_id, ids, starts, stops): piece ids and their source byte spans."""
     bounded_batches(documents.sparkSession, 64)
     rows = documents.select("doc_id", "text")
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path)
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
             ids = [e.ids(t) for t in texts]
-            where = [[{"start": a, "end": z} for a, z in e.spans(t, i)] if spans else None for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(where, span)], ["doc_id", "ids", "spans"])
+            spans = [e.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+            columns = [lists([np.array(i) for i in ids], pa.int32()), lists([a for a, _ in spans], pa.int64()), lists([z for _, z in spans], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "ids", "starts", "stops"])
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", "array<int>").add("spans", "array<struct<start:bigint,end:bigint>>"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", "array<int>").add("starts", "array<bigint>").add("stops", "array<bigint>"))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -208,7 +209,8 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
                 n.append(len(ids))
                 a.append(sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 d.append(sha256(e.decode(ids).encode()).hexdigest())
-                covered.append(sum(z - s for s, z in e.spans(text, ids)))
+                starts, stops = e.spans(text, ids)
+                covered.append(int((stops - starts).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_bytes", "long"))
