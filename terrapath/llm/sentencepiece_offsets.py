@@ -19,6 +19,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import bounded_batches
 
@@ -176,7 +177,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
             columns = [lists([np.array(i) for i in ids], pa.int32()), lists([a for a, _ in spans], pa.int64()), lists([z for _, z in spans], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "ids", "starts", "stops"])
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", "array<int>").add("starts", "array<bigint>").add("stops", "array<bigint>"))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", ArrayType(IntegerType())).add("starts", ArrayType(LongType())).add("stops", ArrayType(LongType())))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
