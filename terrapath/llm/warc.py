@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path
+from .common import bounded_batches, broadcast_if_small, new_path, written
 
 CHUNK = 64 << 10
 CRLF = b"\r\n"
@@ -58,6 +58,7 @@ def records(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     size = F.octet_length("html")
     first = p.where(size >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = broadcast_if_small(written(first, "digests"))  # else the payloads would be shuffled for it
     refers = F.when((size >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return p.join(first, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
