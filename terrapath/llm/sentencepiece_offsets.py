@@ -100,13 +100,14 @@ class Normalizer:
             out += space
             align += [parts[0][1]] * len(space)
         blank = self.collapse
-        for r, a, _ in parts:
-            if blank and self.collapse:
-                r = r.lstrip(b" ")
-            for c in r:
+        for r, a, z in parts:
+            same = r == data[a:z]  # a kept code point aligns byte by byte
+            cut = len(r) - len(r.lstrip(b" ")) if blank and self.collapse else 0
+            for i, c in enumerate(r[cut:], cut):
                 x = space if c == 32 else bytes([c])
                 out += x
-                align += [a] * len(x)
+                align += [a + i if same else a] * len(x)
+            r = r[cut:]
             if r:
                 blank = r.endswith(b" ")
         end = parts[-1][2]
@@ -128,19 +129,24 @@ class Encoder:
         self.normalize = Normalizer(proto.normalizer_spec)
         kinds = type(proto.pieces[0])
         self.unknown = self.lib.unk_id()
+        self.decimal = [str(i) for i in range(len(proto.pieces))]
         # normalised bytes that a piece covers: byte pieces 1, control pieces none
         self.width = np.array([1 if p.type == kinds.BYTE else 0 if p.type in (kinds.CONTROL, kinds.UNKNOWN) else len(p.piece.encode()) for p in proto.pieces])
 
-    def ids(self, text: str | None) -> list[int]:
-        return self.lib.encode(text or "", add_eos=True)
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.lib.encode(text or "", add_eos=True, return_type="numpy")
 
-    def spans(self, text: str | None, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self, ids: np.ndarray) -> str:
+        """Decimal ids, one space between."""
+        return " ".join(map(self.decimal.__getitem__, ids.tolist()))
+
+    def spans(self, text: str | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Source byte starts and stops of every id; the end id's span is empty and stands at the end.
 
         Where the model gives unknown pieces, their widths come from the library's own pieces."""
         normal, align = self.normalize(text or "")
         widths = self.width[ids]
-        if self.unknown in ids:
+        if (ids == self.unknown).any():
             names = self.lib.encode(text or "", out_type=str, add_eos=True)
             widths = np.array([len(s.encode()) if i == self.unknown else w for s, i, w in zip(names, ids, widths, strict=True)])
         ends = np.cumsum(widths)
@@ -148,7 +154,7 @@ class Encoder:
             raise ValueError(f"pieces cover {ends[-1]} of {len(normal)} normalised bytes")
         return align[ends - widths], align[ends]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         return self.lib.decode(ids)
 
 
@@ -160,7 +166,7 @@ def encoder(path: str) -> Encoder:
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), kind))
 
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
@@ -174,7 +180,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
             texts = [t.as_py() for t in b.column(1)]
             ids = [e.ids(t) for t in texts]
             spans = [e.spans(t, i) for t, i in zip(texts, ids, strict=True)]
-            columns = [lists([np.array(i) for i in ids], pa.int32()), lists([a for a, _ in spans], pa.int64()), lists([z for _, z in spans], pa.int64())]
+            columns = [lists(ids, pa.int32()), lists([a for a, _ in spans], pa.int64()), lists([z for _, z in spans], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "ids", "starts", "stops"])
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("ids", ArrayType(IntegerType())).add("starts", ArrayType(LongType())).add("stops", ArrayType(LongType())))
@@ -208,7 +214,7 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
                 text = t.as_py()
                 ids = e.ids(text)
                 n.append(len(ids))
-                a.append(sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                a.append(sha256(e.joined(ids).encode()).hexdigest())
                 d.append(sha256(e.decode(ids).encode()).hexdigest())
                 starts, stops = e.spans(text, ids)
                 covered.append(int((stops - starts).sum()))
