@@ -11,7 +11,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.config import Config
 from ..functions.scalars import percent_to_degrees, winch_law, winch_reach
@@ -71,14 +71,21 @@ def along_rays(cells: DataFrame, sources: DataFrame, rays: DataFrame, layers: li
     return spread.join(cells.select("r", "c", "cell", *layers), ["r", "c"]).drop("r", "c")
 
 
-RAY = Window.partitionBy("src", "az").orderBy("step")
-SO_FAR = RAY.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = RAY.rowsBetween(Window.unboundedPreceding, -1)
+def ray() -> WindowSpec:
+    return Window.partitionBy("src", "az").orderBy("step")
+
+
+def so_far() -> WindowSpec:
+    return ray().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return ray().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def alive(ok: Column) -> Column:
     """Whether this and all cells before it on the ray pass."""
-    return F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(SO_FAR) == 1
+    return F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(so_far()) == 1
 
 
 def nearest(found: DataFrame, carry: list[str]) -> DataFrame:
@@ -104,7 +111,7 @@ def winch(cells: DataFrame, sources: DataFrame, config: Config, res: float = 5.0
     t = along_rays(cells, sources, rays, ["z", "winchable"])
     dz = F.col("z") - F.col("z0")
     t = t.withColumns({"slope": dz / F.col("hd"), "d3": F.sqrt(F.col("hd") * F.col("hd") + dz * dz), "low": (dz - s.winch_anchor_m) / F.col("hd"), "high": (dz - s.winch_anchor_m + s.clearance_max_m) / F.col("hd")})
-    t = t.withColumns({"lo": F.coalesce(F.max("low").over(BEFORE), F.lit(-math.inf)), "hi": F.coalesce(F.min("high").over(BEFORE), F.lit(math.inf))})
+    t = t.withColumns({"lo": F.coalesce(F.max("low").over(before()), F.lit(-math.inf)), "hi": F.coalesce(F.min("high").over(before()), F.lit(math.inf))})
     ok = F.col("winchable") & F.col("slope").between(F.col("lo"), F.col("hi")) & ((F.col("d3") <= law.always_m) | (F.col("d3") <= winch_reach(F.col("slope"), law)))
     return with_sources(nearest(t.withColumn("live", alive(ok)).where("live"), []), sources)
 
@@ -123,8 +130,8 @@ def forward(cells: DataFrame, sources: DataFrame, config: Config, res: float = 5
     turn = F.pmod(F.col("az") - F.col("aspect_deg"), F.lit(180.0))
     cos = F.cos((90 - turn) / 180 * math.pi)
     side = F.col("aspect_deg").isNull() | (cos == 0) | (F.col("deg") <= F.abs(F.lit(across) / cos))
-    walked = F.when(F.col("deg") > across, F.col("d3") - F.coalesce(F.lag("d3").over(RAY), F.lit(0.0))).otherwise(0.0)
-    t = t.withColumn("walked", walked).withColumn("steep", F.sum("walked").over(SO_FAR))
+    walked = F.when(F.col("deg") > across, F.col("d3") - F.coalesce(F.lag("d3").over(ray()), F.lit(0.0))).otherwise(0.0)
+    t = t.withColumn("walked", walked).withColumn("steep", F.sum("walked").over(so_far()))
     ok = F.col("drivable") & (F.col("deg") <= F.when(F.col("z") > F.col("z0"), F.lit(down)).otherwise(F.lit(up))) & side & (F.col("steep") <= f.steep_max_m)
     return with_sources(nearest(t.withColumn("live", alive(ok)).where("live"), []), sources)
 
@@ -140,9 +147,9 @@ def hose(cells: DataFrame, sources: DataFrame, reach: float, res: float = 5.0, a
     whole metres and only forest cells have them; a source that reaches any cell reaches itself at 0."""
     rays = template(cells.sparkSession, connected_rays(res, reach, azimuths))
     t = along_rays(cells, sources.where("z0 is not null"), rays, ["z", "usable", "forest"])
-    dz = F.col("z") - F.coalesce(F.lag("z").over(RAY), F.col("z0"))
-    dh = F.col("hd") - F.coalesce(F.lag("hd").over(RAY), F.lit(0.0))
-    t = t.withColumn("piece", F.sqrt(dz * dz + dh * dh)).withColumn("laid", F.sum("piece").over(SO_FAR))
+    dz = F.col("z") - F.coalesce(F.lag("z").over(ray()), F.col("z0"))
+    dh = F.col("hd") - F.coalesce(F.lag("hd").over(ray()), F.lit(0.0))
+    t = t.withColumn("piece", F.sqrt(dz * dz + dh * dh)).withColumn("laid", F.sum("piece").over(so_far()))
     t = t.withColumn("live", alive(F.col("usable") & (F.col("laid") <= reach))).where("live")
     t = t.withColumns({"cm": F.floor(F.col("laid") * 100 + 0.5), "rise": away_from_zero(F.col("z") - F.col("z0"))})
     best = t.groupBy("cell").agg(F.min(F.struct("cm", "src", "az", "step", "rise")).alias("b"))
@@ -160,20 +167,20 @@ def check_lines(profile: DataFrame, config: Config) -> DataFrame:
     c = config.cable
     gap = math.inf if c.no_forest_max_m is None and c.length_max_m == math.inf else (min(0.1 * c.length_max_m, c.length_min_m) if c.no_forest_max_m is None else c.no_forest_max_m)
     t = profile
-    step = F.col("hd") - F.lag("hd").over(RAY)
-    z_first = F.first("z").over(SO_FAR)
+    step = F.col("hd") - F.lag("hd").over(ray())
+    z_first = F.first("z").over(so_far())
     far = F.sqrt(F.col("hd") * F.col("hd") + (F.col("z") - z_first) * (F.col("z") - z_first)) > c.length_max_m
     whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
     angle = F.abs(F.pmod(F.col("az") - whole(F.col("aspect_deg")) + 180, F.lit(360)) - 180)
     aligned = F.col("aspect_deg").isNull() | (angle > 90 + c.cross_angle_deg) | (angle < 90 - c.cross_angle_deg)
     gentle = F.coalesce(whole(F.col("slope_pct")) < c.cross_slope_max_pct, F.lit(False))
     t = t.withColumns({"__far": far, "__cross": F.when((F.col("step") > 0) & ~aligned & ~gentle, step).otherwise(0.0), "__bare": F.when(~F.col("forest") & (F.col("step") > 0), step).otherwise(0.0)})
-    t = t.withColumns({"__crossed": F.sum("__cross").over(SO_FAR), "__trees": F.sum(F.col("forest").cast("int")).over(SO_FAR), "__all_bare": F.sum("__bare").over(SO_FAR)})
+    t = t.withColumns({"__crossed": F.sum("__cross").over(so_far()), "__trees": F.sum(F.col("forest").cast("int")).over(so_far()), "__all_bare": F.sum("__bare").over(so_far())})
     # bare length since the last forest cell: each forest cell restarts the count
-    t = t.withColumn("__since", F.col("__all_bare") - F.coalesce(F.max(F.when(F.col("forest"), F.col("__all_bare"))).over(SO_FAR), F.lit(0.0)))
+    t = t.withColumn("__since", F.col("__all_bare") - F.coalesce(F.max(F.when(F.col("forest"), F.col("__all_bare"))).over(so_far()), F.lit(0.0)))
     stop_forest = F.col("__far") | (F.col("__crossed") > c.cross_length_max_m)
     t = t.withColumns({"__stop": stop_forest, "__out": ~F.col("forest") & (F.col("__since") >= gap)})
-    t = t.withColumns({"__stopped": F.max(F.col("__stop").cast("int")).over(SO_FAR), "__ended": F.coalesce(F.max(F.col("__out").cast("int")).over(BEFORE), F.lit(0))})
+    t = t.withColumns({"__stopped": F.max(F.col("__stop").cast("int")).over(so_far()), "__ended": F.coalesce(F.max(F.col("__out").cast("int")).over(before()), F.lit(0))})
     live = t.where("__stopped = 0 and __ended = 0")
     share = (F.col("step") > 0) & (F.col("__crossed") / F.col("hd") < c.cross_share_max)
     ends = live.groupBy("src", "az").agg(F.coalesce(F.max(F.when(F.col("forest"), F.col("step"))), F.lit(0)).alias("a"), F.coalesce(F.max(F.when(share, F.col("step"))), F.lit(0)).alias("b"))
