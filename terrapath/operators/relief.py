@@ -57,7 +57,7 @@ def horizon(cells: DataFrame, z: str = "z", res: float = 5.0, radius_m: float =
 
 
 def normalise(x: Column, low: float, high: float, invert: bool = False) -> Column:
-    v = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    v = F.when(x.isNotNull(), F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0)))
     return 1 - v if invert else v
 
 
@@ -83,7 +83,7 @@ def blend_stack(layers: tuple = ARCHAEOLOGY) -> Column:
 
 def as_byte(x: Column) -> Column:
     """0..1 as 0..255, truncated; null is 255."""
-    return F.coalesce(F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255.9999), F.lit(255)).cast("smallint")
+    return F.coalesce(F.when(x.isNotNull(), F.least(F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255.9999), F.lit(255))), F.lit(255)).cast("smallint")
 
 
 def relief_picture(cells: DataFrame, z: str = "z", res: float = 5.0, radius_m: float = 10, directions: int = 16, azimuth: float = 315, elevation: float = 35, layers: tuple = ARCHAEOLOGY, name: str = "relief") -> DataFrame:

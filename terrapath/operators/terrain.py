@@ -55,4 +55,4 @@ def hillshade(cells: DataFrame, z: str = "z", res: float = 5.0, azimuth: float =
     a, e = math.radians(azimuth), math.radians(elevation)
     east, north = math.sin(a) * math.cos(e), math.cos(a) * math.cos(e)
     lit = (F.lit(math.sin(e)) - F.col("dzdx") * F.lit(east) - F.col("dzdy") * F.lit(north)) / F.sqrt(1 + F.pow("dzdx", 2) + F.pow("dzdy", 2))
-    return g.withColumn(name, F.greatest(lit, F.lit(0.0))).select(*cells.columns, name)
+    return g.withColumn(name, F.when(lit.isNotNull(), F.greatest(lit, F.lit(0.0)))).select(*cells.columns, name)
