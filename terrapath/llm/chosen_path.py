@@ -146,14 +146,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: int = DEPTH) -> Iterator[tuple[int, int]]:
-    """Pairs of a bucket whose sketches share `need` coordinates: all of a small bucket's, and of a large one's
-    enough to keep alike sets in one group."""
+    """Pairs that join the sets of a bucket whose sketches share `need` coordinates, directly or through others:
+    a tree for each group, never all its pairs. Each pair of a small bucket is compared."""
     if len(ids) < 2:
         return
     if len(ids) <= SMALL:
-        m = alike(sk, sk)
-        for i, j in np.argwhere(np.triu(m >= need, 1)):
-            yield int(ids[i]), int(ids[j])
+        m = alike(sk, sk) >= need
+        np.fill_diagonal(m, False)
+        for i, j in enumerate(roots(m)):
+            if i != j:
+                yield int(ids[i]), int(ids[j])
         return
     if depth < DEEPEST:
         h = int(mix(np.array([seed + 1], np.uint64))[0])
