@@ -13,7 +13,7 @@ shared token sampled with probability equal to the similarity.
    What stays large at the deepest level are near-copies: each set is compared with leaders, and sets no
    leader matches are taken again among themselves, so none is dropped.
 3. The pairs make candidate groups, and every pair of sets within a group is compared exactly. A group above
-   BLOCK sets is dealt to block pairs. A task gives sums per set, never its pairs.
+   BLOCK sets or BLOCK_SHINGLES shingles is dealt to block pairs. A task gives sums per set, never its pairs.
 4. Links join sets to classes (connected components).
 
 Defined cases: a null text or one without words has no shingles, links nothing and is its own class; a null
@@ -32,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, components, written
+from .common import bounded_batches, broadcast_if_small, components, give_back, written
 
 K, SIMILARITY, WIDTH, DEPTH, DEEPEST, SMALL, BLOCK, TARGET = 5, 0.8, 128, 4, 14, 48, 256, 0.9999
+#: Shingles of a block of sets, on average at most.
+BLOCK_SHINGLES = 1 << 21
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 SEEDS = np.random.default_rng(5).integers(1, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -272,12 +274,13 @@ def candidate_pairs(sketches: DataFrame, similarity: float, target: float) -> Da
             if len(out) > 1 << 16:
                 yield flush()
         yield flush()
+        give_back()
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def exact_groups(documents: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """(sid, links, root) of members (row, sid, copies, component): `links` counts documents linked, and root
+    """(sid, links, root) of members (row, sid, copies, n, component): `links` counts documents linked, and root
     is a set that the set reaches by links; a set may have several rows, to be summed and joined."""
     bounded_batches(documents.sparkSession, 64)
     need = members.select("row").distinct()
@@ -288,7 +291,7 @@ def exact_groups(documents: DataFrame, members: DataFrame, similarity: float) ->
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["row", "shingles"])
 
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     m = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("row", "sid", "copies", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -304,6 +307,7 @@ def exact_groups(documents: DataFrame, members: DataFrame, similarity: float) ->
             links = exact_links(sets, own if t.column("i")[0] != t.column("j")[0] else None, similarity)
             if links.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array((links @ copies).astype(np.int64)), pa.array(sid[roots(links)])], ["sid", "links", "root"])
+        give_back()
 
     return met.mapInArrow(compare, "sid long, links long, root long")
 
@@ -312,7 +316,7 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, target: float = T
     """(doc_id, row, class_id, n_links), a row per document: its class's smallest doc_id, and how many other
     documents are at least `similarity` alike."""
     docs = written(sets_of(documents), "sets")
-    sets = docs.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
+    sets = docs.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.max("n").alias("n"))
     sets = written(sets, "classes")
     one = docs.where("sid is not null").join(sets.select("sid", "row"), ["sid", "row"], "left_semi").select("sid", "sketch").dropDuplicates(["sid"])
     pairs = candidate_pairs(written(one, "sketches"), similarity, target)

@@ -4,9 +4,11 @@ bounded Arrow batches and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,15 @@ def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are used again, and their memory adds to the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text, [] for null."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
