@@ -72,7 +72,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     sizes = item.groupBy("item", "item_id", "len", "k").agg(F.sum("n").alias("m"))
     ks = sorted(r.k for r in item.select("k").distinct().collect())  # at most five values
 
-    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+    docs = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("th"), words(F.col("text")).alias("w"))
     by_hash = broadcast_if_small(item.join(sizes.select("item", "m"), "item").select("h", "item", "len", "m").groupBy("h").agg(F.collect_list(F.struct("item", "len", "m")).alias("items"))) if ks else None
     hits = None
     for k in ks:
@@ -91,16 +91,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     windows = written(windows.select("doc_id", "th", "len", "s").distinct(), "windows")
 
     # the windows' own shingles, from the few documents that have any
-    ids = broadcast_if_small(written(windows.select("doc_id", "th").distinct(), "ids"))
-    text = documents.select("doc_id", F.xxhash64("text").alias("th"), "text").join(ids, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
-    text = text.select("doc_id", "th", words(F.col("text")).alias("w"))
-    wide = text.join(windows, ["doc_id", "th"])
+    ids = written(windows.select("doc_id", "th").distinct(), "ids")
+    text = documents.select(F.xxhash64("doc_id", "text").alias("th"), "text").join(broadcast_if_small(ids.select("th")), "th", "left_semi").dropDuplicates(["th"])
+    wide = text.select("th", words(F.col("text")).alias("w")).join(windows.select("th", "len", "s"), "th")
     own = F.array().cast("array<bigint>")
     for n in ks:
         own = F.when(F.least("len", F.lit(K)) == n, shingles(F.slice("w", F.col("s") + 1, F.col("len")), n)).otherwise(own)
-    wsh = written(wide.select("doc_id", "th", "len", "s", F.explode(own).alias("h")), "shingles")
+    wsh = written(wide.select("th", "len", "s", F.explode(own).alias("h")), "shingles")
 
-    key = ["doc_id", "th", "len", "s"]
+    key = ["th", "len", "s"]
     window_fp = fingerprint(wsh, key)
     per_item = fingerprint(item.withColumn("h", F.explode(F.array_repeat("h", F.col("n").cast("int")))), ["item", "len"])
     pairs = block_rows(window_fp, 0).join(block_rows(per_item.select("item", "len", F.col("fp")), RADIUS // BLOCKS).withColumnRenamed("fp", "ifp"), ["len", "block", "value"])
@@ -112,7 +111,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
     scored = both.join(wsize, key).join(sizes.select("item", "item_id", "m"), "item")
     sim = F.col("both") / (F.col("mw") + F.col("m") - F.col("both"))
     found = scored.withColumn("similarity", sim).where(F.col("similarity") >= similarity - 1e-12)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("ns"), "len")).alias("best"))
+    best = found.join(ids, "th").groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("ns"), "len")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.ns")).cast("long").alias("start_word"), F.col("best.len").cast("long").alias("window_words"))
 
 

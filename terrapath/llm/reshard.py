@@ -3,7 +3,7 @@
 Old shard sizes and new capacities make a transport problem: a byte that stays costs nothing, one
 that moves costs 1. Documents are grouped into blocks (BLOCKS per old shard, by hash of the text,
 so equal texts stay together); the solver sees at most old shards x BLOCKS sizes however large the
-data. Groups of equal texts above a block's share are split over blocks by doc_id, so one text may
+data. Groups of equal texts above 1/64 of a shard are split over blocks by doc_id, so one text may
 hold a third of all rows. Every step but the solver is a Spark plan, and only shards that gain or
 lose blocks are rewritten.
 
@@ -114,8 +114,8 @@ def reshard(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: C
     share = rows.agg(F.sum("size")).first()[0]
     if not share:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long")
-    # texts whose copies weigh more than half a block's share; at most 2 * shards * BLOCKS of them
-    heavy = rows.groupBy("th").agg(F.sum("size").alias("all")).where(F.col("all") > share / (2 * old_shards * BLOCKS)).select("th", F.lit(True).alias("heavy"))
+    # texts whose copies weigh more than 1/64 of a shard; at most 64 * shards of them
+    heavy = rows.groupBy("th").agg(F.sum("size").alias("all")).where(F.col("all") > share / (64 * shards)).select("th", F.lit(True).alias("heavy"))
     block = F.pmod(F.xxhash64("th", F.when(F.col("heavy"), F.col("doc_id"))), F.lit(BLOCKS)).cast("int")
     rows = rows.join(F.broadcast(heavy), "th", "left").withColumn("block", block)
     table = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # old_shards * BLOCKS rows at most
