@@ -178,6 +178,24 @@ def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: i
         rest = others[~near]
 
 
+def to_smallest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(smallest, other) for each group that the pairs join: the same few pairs whichever bucket a group meets in."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    for x in list(above):
+        if (t := top(x)) != x:
+            yield t, x
+
+
 def exact_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
     """Boolean matrix of pairs of the required similarity; with `side`, only pairs across its two values."""
     n = len(sets)
@@ -270,7 +288,7 @@ def candidate_pairs(sketches: DataFrame, similarity: float, target: float) -> Da
                 ids, sk = np.concatenate([lead[0], ids]), np.concatenate([lead[1], sk])
             lead = ids[:SMALL], sk[:SMALL]
             seed = int(t.column("key")[0].as_py()) & ((1 << 62) - 1)
-            out.update((min(p), max(p)) for p in bucket_pairs(ids, sk, need, seed))
+            out.update(to_smallest(bucket_pairs(ids, sk, need, seed)))
             if len(out) > 1 << 16:
                 yield flush()
         yield flush()

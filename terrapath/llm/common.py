@@ -89,23 +89,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges of longs: (id, component), the component being its smallest id.
 
-    Each round every node takes the smallest label among itself and its neighbours, then jumps to that
-    label's own label, so long paths halve. Each round is a written table; only a changed flag reaches the driver."""
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "label")
-    for _ in range(rounds):
-        at = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        low = label.join(at.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = label.select(F.col("id").alias("c"), F.col("component").alias("up"))
-        new = written(low.join(jump, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("component")), "label")
-        label = new.select("id", "component")
-        if not new.where("was <> component").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
+    Each round every node takes its smallest neighbour (or itself), labels jump once, and the edges are drawn
+    anew between labels, loops and copies left out. So edges shrink by half or more each round, and the rounds'
+    maps, composed from the last to the first, give the components. Every round is a written table; only whether
+    edges are left reaches the driver."""
+    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    e = written(edges.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not maps or e.limit(1).count():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("up")), "hook")
+        above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
+        jump = written(hook.join(above, "up").select("id", F.col("top").alias("up")), "jump")
+        maps.append(jump)
+        one = e.join(jump.select(F.col("id").alias("a"), F.col("up").alias("x")), "a").join(jump.select(F.col("id").alias("b"), F.col("up").alias("y")), "b")
+        e = written(one.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    label = maps.pop().withColumnRenamed("up", "component")
+    while maps:
+        label = maps.pop().join(label.select(F.col("id").alias("up"), "component"), "up", "left").select("id", F.coalesce("component", "up").alias("component"))
     return label
