@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,25 @@ def run_by_tiles(cells: DataFrame, engine: Callable[[pd.DataFrame], pd.DataFrame
         if last:
             return result.drop("tile")
         todo, halo = open_tiles, min(halo_max_m, 2 * halo)
+
+
+def least_cost_engine(res: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """An engine for `run_by_tiles`: least cost from sources, certified where the open border can't undercut it.
+
+    Window columns: cell, r, c, price (nan: impassable), source, border."""
+    from .propagation import solve_tile
+
+    def engine(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, cell = (pdf[x].to_numpy() for x in ("r", "c", "cell"))
+        price = pdf["price"].to_numpy(float, na_value=math.nan)
+
+        def solve(start) -> np.ndarray:
+            begin = np.where(start, 0.0, math.inf)
+            d, s, _ = solve_tile(r, c, cell, price, begin, np.where(start, cell, -1), res, math.inf)
+            return np.where(s >= 0, d, math.inf)
+
+        inner = solve(pdf["source"].to_numpy(bool))
+        outer = solve(pdf["border"].to_numpy(bool) & ~np.isnan(price))
+        return pd.DataFrame({"cell": cell, "cost": np.where(np.isinf(inner), np.nan, inner), "certified": inner <= outer})
+
+    return engine

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import algebra, engines
+from ..operators import algebra, engines, propagation, tiles
 from .catalogue import CONFIG, EIGHT_AZ, Query, r6
 from .inputs import RES, prepared
 
@@ -49,3 +49,24 @@ def forwarder(spark, d):
 def fire_truck(spark, d):
     out = engines.fire_truck(prepared(spark, d), CONFIG, algebra.road_is("fire"), RES, EIGHT_AZ)
     return out.select("cell", "hose_m", "hose_alloc", "hose_rise", F.col("defence").cast("long").alias("defence"))
+
+
+@query("track_aware")
+def track_aware(spark, d):
+    """Veto propagation of windows of 40 rows, a task each."""
+    run, schema = propagation.track_aware()
+    p = prepared(spark, d)
+    ok = algebra.drivable_ground(CONFIG) | algebra.delivers()
+    w = p.select("cell", "r", "c", F.when(ok, algebra.drive_cost(CONFIG)).alias("price"), F.when(algebra.delivers(), F.col("cell")).alias("source"), F.when(algebra.road_is("track"), F.col("c") * 2.0).otherwise(0.0).alias("track"), F.lit(RES).alias("res"), F.lit(CONFIG.skidder.track_weight_drive).alias("weight"), F.floor(F.col("r") / 40).alias("w"))
+    return w.groupBy("w").applyInPandas(lambda pdf: run(pdf.drop(columns="w")), schema).select("cell", r6("cost", "cost"), "alloc", r6("track", "track"))
+
+
+@query("tiled_by_certificate")
+def tiled_by_certificate(spark, d):
+    """Least-cost labels of windows under a growing halo, each with its certificate; certified cells equal the whole grid's."""
+    p = prepared(spark, d)
+    ok = algebra.drivable_ground(CONFIG) | algebra.delivers()
+    w = p.select("cell", "r", "c", F.when(ok, algebra.drive_cost(CONFIG)).alias("price"), algebra.delivers().alias("source"))
+    rows = w.agg(F.max("r")).first()[0] + 1
+    out = tiles.run_by_tiles(w, tiles.least_cost_engine(RES), "cell long, cost double, certified boolean", rows, 50, RES, 50, 15, 60)
+    return out.select("cell", r6("cost", "cost"), "certified")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import catalogue, catalogue_engines, catalogue_sources, catalogue_vector
+from . import catalogue, catalogue_engines, catalogue_roads, catalogue_sources, catalogue_vector
 
 
 def queries() -> dict[str, catalogue.Query]:
-    return catalogue.QUERIES | catalogue_vector.QUERIES | catalogue_sources.QUERIES | catalogue_engines.QUERIES
+    return catalogue.QUERIES | catalogue_vector.QUERIES | catalogue_sources.QUERIES | catalogue_roads.QUERIES | catalogue_engines.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
