@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.config import Selection
+from ..sources.scratch import written
 
 
 def class_recap(cells: DataFrame, levels: DataFrame, value: str = "value", volume: str | None = None, res: float = 5.0) -> DataFrame:
@@ -75,6 +76,24 @@ def compare(actual: DataFrame, oracle: DataFrame, key: str, value: str, tol_abs:
     return j.agg((same & near).alias("ok"), same.alias("same_nulls"), F.max(diff).alias("max_abs"), F.max(rel).alias("max_rel"), F.count(diff).alias("n"))
 
 
+def in_order(df: DataFrame, order: Sequence[Column], amount: str | None = None) -> DataFrame:
+    """df plus __before: how many rows, or how much of `amount`, come before a row in a total order.
+
+    Rows are dealt to ranges of the order, each a task; totals per range (one row each) shift the ranges, so no
+    task sees all rows, as a window without partitions would."""
+    keys = [c.alias(f"__o{i}") for i, c in enumerate(order)]
+    names = [f"__o{i}" for i in range(len(order))]
+    # descending columns were turned by the caller, so all sort upward
+    t = df.select("*", *keys).repartitionByRange(*names).withColumn("__p", F.spark_partition_id())
+    t = written(t, "order")
+    value = F.col(amount) if amount else F.lit(1)
+    totals = t.groupBy("__p").agg(F.sum(value).alias("__t"))
+    shift = totals.alias("a").join(totals.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__t"), F.lit(0)).alias("__shift"))
+    w = Window.partitionBy("__p").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    out = t.join(F.broadcast(shift), "__p").withColumn("__before", F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col("__shift"))
+    return out.drop("__p", "__shift", *names)
+
+
 def line_scores(lines: DataFrame, choice: Selection) -> DataFrame:
     """lines within the limits plus score and rank. Lines: depart, azimuth, length_m, surface_ha, direction, supports, volume_m3, ipc.
 
@@ -97,7 +116,8 @@ def line_scores(lines: DataFrame, choice: Selection) -> DataFrame:
         score = score + F.when(F.col(f"__m_{c}") > 0, (1 - F.col(c) / F.col(f"__m_{c}")) * w).otherwise(0.0)
     scored = j.withColumn("score", score).select(*lines.columns, "score")
     first = (F.col("direction") != choice.direction).cast("int") if choice.direction else F.lit(0)
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(first, F.desc("score"), "depart", "azimuth")))
+    ranked = in_order(scored, [first, -F.col("score"), F.col("depart"), F.col("azimuth")])
+    return ranked.withColumn("rank", (F.col("__before") + 1).cast("long")).drop("__before")
 
 
 def greedy_cover(ranked: DataFrame, footprint: DataFrame, contribution_min: float) -> DataFrame:
@@ -129,9 +149,8 @@ def greedy_cover(ranked: DataFrame, footprint: DataFrame, contribution_min: floa
 
 def convert_until(edges: DataFrame, budget_m: float, first: Column) -> DataFrame:
     """edges (id, length_m) plus converted: zone rows first, longest first, while the length before a row is under the budget."""
-    w = Window.orderBy(first.desc(), F.desc("length_m"), "id")
-    before = F.coalesce(F.sum("length_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return edges.withColumn("converted", before < budget_m)
+    ordered = in_order(edges, [(~first).cast("int"), -F.col("length_m"), F.col("id")], "length_m")
+    return ordered.withColumn("converted", F.col("__before") < budget_m).drop("__before")
 
 
 def threshold_sweep(segments: DataFrame, thresholds: Sequence[float]) -> DataFrame:
