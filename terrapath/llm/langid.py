@@ -64,40 +64,47 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
+        """Row 0 of the table is for words of which nothing is known."""
         self.ids: dict[str, int] = {}
-        self.rows: list[list[float]] = [[0.0] * len(self.model.langs)]
-        self.table = None
+        self.table = np.zeros((1024, len(self.model.langs)))
+        self.used = 1
 
     def number(self, word: str) -> int:
         row = self.model.evidence(word)
         if row is None:
-            self.ids[word] = 0
             return 0
-        self.rows.append(row)
-        self.ids[word] = len(self.rows) - 1
-        return len(self.rows) - 1
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = row
+        self.used += 1
+        return self.used - 1
 
     def sums(self, words: list[str]) -> tuple[np.ndarray, int]:
         if len(self.ids) > self.CACHE:
             self.clear()
-        get, number = self.ids.get, self.number
-        at = np.fromiter((n if (n := get(w)) is not None else number(w) for w in words), np.int64, len(words))
-        if self.table is None or len(self.table) != len(self.rows):
-            if self.table is None:
-                self.table = np.array(self.rows)
-            else:
-                self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :])])
-        times = np.bincount(at, minlength=1)
-        used = np.flatnonzero(times)
-        return times[used] @ self.table[used], int(times.sum() - times[0])
+        ids = self.ids
+        for w in set(words).difference(ids):
+            ids[w] = self.number(w)
+        at = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return self.table[at].sum(0), int(np.count_nonzero(at))
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, at most about AT_ONCE at a time."""
+        if len(text) <= AT_ONCE:
+            yield WORD.findall(text.lower())
+            return
+        found = WORD.finditer(text.lower())
+        while part := [m.group() for m in islice(found, AT_ONCE)]:
+            yield part
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = WORD.finditer(text.lower()) if text and self.model.langs else iter(())
         total, known, any_word = np.zeros(len(self.model.langs)), 0, False
-        while batch := [m.group() for m in islice(found, AT_ONCE)]:
-            any_word = True
-            s, n = self.sums(batch)
-            total, known = total + s, known + n
+        if text and self.model.langs:
+            for part in self.parts(text):
+                if part:
+                    any_word = True
+                    s, n = self.sums(part)
+                    total, known = total + s, known + n
         if not any_word:
             return "und", 0.0
         if not known:
