@@ -326,19 +326,23 @@ def contexts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found: list[tuple] = []
+            bodies: list[np.ndarray] = []
             for row, doc, text, places in zip(*b.columns, strict=True):
-                raw = text.as_buffer()
-                h, at, first, last = anchors(np.frombuffer(raw, np.uint8))
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                h, at, first, last = anchors(raw)
                 keep = np.isin(at, np.asarray(places.values))
-                h, at, first, last = h[keep], at[keep], first[keep], last[keep]
-                offsets = np.concatenate([[0], np.cumsum(last - first + WIDTH)]).astype(np.int32)
-                if not len(h):
-                    continue
-                take = np.repeat(first - offsets[:-1], last - first + WIDTH) + np.arange(offsets[-1])
-                body = np.frombuffer(raw, np.uint8)[take]
-                ctx = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, doc.as_py())), pa.array(np.full(n, row.as_py())), pa.array(first), pa.array((at - first).astype(np.int32)), ctx], ["gram", "doc", "row", "first", "offset", "context"])
+                h, at, first, size = h[keep], at[keep], first[keep], (last - first + WIDTH)[keep]
+                end = np.cumsum(size)
+                if len(h):
+                    bodies.append(raw[np.repeat(first - (end - size), size) + np.arange(end[-1])])
+                    found.append((h.view(np.int64), np.full(len(h), doc.as_py()), np.full(len(h), row.as_py()), first, (at - first).astype(np.int32), size))
+            if not found:
+                continue
+            *columns, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            ctx = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(bodies).tobytes())])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ctx], ["gram", "doc", "row", "first", "offset", "context"])
 
     return texts.select("row", "doc", "text", "places").mapInArrow(run, "gram long, doc long, row long, first long, offset int, context binary")
 
