@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import membership
 from ..sources import features
 from .catalogue import Query, long
 from .inputs import table
@@ -88,3 +89,10 @@ def obstacle_filter(spark, d):
 def forest_without_heath(spark, d):
     p = table(spark, d, "part").withColumn("code", F.when(F.col("p_size") % 6 == 4, "LA4").when(F.col("p_size") % 6 == 5, "LA6").when(F.col("p_size") % 6 == 3, "FF1"))
     return features.drop_heath(p, "code").select("p_partkey")
+
+
+@query("road_membership", """WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q, l_extendedprice AS p, least(greatest((l_quantity - 4.4913660574e0) / (20.256017850e0 - 4.4913660574e0), 0e0), 1e0) AS s, CASE WHEN l_linenumber > 2 THEN least(greatest((l_discount * 10 - 0.8552256750e0) / (0.914393904e0 - 0.8552256750e0), 0e0), 1e0) END AS v FROM lineitem)
+SELECT k, n, q, p, round(((1 - s) * 2 + coalesce(v, 0)) / (2 + CASE WHEN v IS NULL THEN 0 ELSE 1 END), 6) AS score FROM x""")
+def road_membership(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.when(F.col("l_linenumber") > 2, F.col("l_discount") * 10).alias("svf"))
+    return x.select("k", "n", "q", "p", F.round(membership.score({"terrain": membership.TERRAIN}, {"slope": F.col("q"), "svf": F.col("svf")}), 6).alias("score"))

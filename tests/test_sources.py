@@ -121,3 +121,30 @@ def test_unqualified_roads_fail_when_read(spark):
         features.require_qualified(df, "origin", "ok").collect()
     assert features.require_qualified(df.where("origin = 'map'"), "origin", "ok").count() == 1
     assert df.select(features.first_match([(F.lit(None).cast("boolean"), "a"), (F.col("origin") == "osm", "b")], "c").alias("x")).collect()[1].x == "c"
+
+
+def test_archives_are_pruned():
+    import struct
+
+    from terrapath.sources import archives
+
+    box = remote.Box(701000, 6596000, 702000, 6597000)
+    names = ["d/T_0700_6600_MNT.asc", "d/T_0710_6600_MNT.asc", "d/readme.txt"]
+    assert archives.by_name(names, box) == names[:1]
+    head = lambda x0, x1: b"LASF".ljust(179, b"\0") + struct.pack("<4d", x1, x0, 6597000.0, 6595000.0) + b"\0" * 20
+    heads = {"in": head(700000.0, 701500.0), "out": head(0.0, 10.0), "odd": b"?"}
+    assert archives.by_header(["in", "out", "odd"], box, heads.__getitem__) == ["in", "odd"]
+    assert archives.station_key(12.4, b=2, a=1) == "12_a=1_b=2"
+
+
+def test_membership(spark):
+    from terrapath.functions import membership as m
+
+    specs = {"slope": m.Ramp(False, 5, 15, 2), "svf": m.Ramp(True, 0.8, 0.9, 1)}
+    df = spark.createDataFrame([(10.0, 0.9), (20.0, None), (None, None)], "slope double, svf double")
+    got = [r.s for r in df.select(m.score(specs, {"slope": F.col("slope"), "svf": F.col("svf")}).alias("s")).collect()]
+    assert got == [pytest.approx((0.5 * 2 + 1) / 3), 0.0, None]
+    assert set(m.normalise({"terrain": m.TERRAIN})) == {"terrain"} and set(m.normalise(specs)) == {"terrain", "surface"}
+    for bad in ({}, {"x": 3}):
+        with pytest.raises(ValueError):
+            m.normalise(bad)
