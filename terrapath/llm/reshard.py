@@ -3,7 +3,7 @@
 Old shard sizes and new capacities make a transport problem: a byte that stays costs nothing, one
 that moves costs 1. Documents are grouped into blocks (BLOCKS per old shard, by hash of the text,
 so equal texts stay together); the solver sees at most old shards x BLOCKS sizes however large the
-data. Groups of equal texts above 1/64 of a shard are split over blocks by doc_id, so one text may
+data. Groups of equal texts above half a shard are split over blocks by doc_id, so one text may
 hold a third of all rows. Every step but the solver is a Spark plan, and only shards that gain or
 lose blocks are rewritten.
 
@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 
 from .common import drop_table, new_path, written
 
-BLOCKS = 1024
+#: Blocks per old shard, and parts that the rows of a frequent text are ranked in.
+BLOCKS, PARTS = 1024, 32
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -114,21 +115,26 @@ def reshard(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: C
     share = rows.agg(F.sum("size")).first()[0]
     if not share:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long")
-    # texts whose copies weigh more than 1/64 of a shard; at most 64 * shards of them
-    heavy = rows.groupBy("th").agg(F.sum("size").alias("all")).where(F.col("all") > share / (64 * shards)).select("th", F.lit(True).alias("heavy"))
-    block = F.pmod(F.xxhash64("th", F.when(F.col("heavy"), F.col("doc_id"))), F.lit(BLOCKS)).cast("int")
-    rows = rows.join(F.broadcast(heavy), "th", "left").withColumn("block", block)
-    table = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # old_shards * BLOCKS rows at most
+    # texts whose copies weigh more than 1/64 of a shard (64 * shards of them at most) are ranked in parts, and those
+    # above half a shard are dealt to all blocks
+    weight = rows.groupBy("th").agg(F.sum("size").alias("all")).where(F.col("all") > share / (64 * shards)).select("th", (F.col("all") > share / (2 * shards)).alias("dealt"))
+    one = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))
+    rows = rows.join(F.broadcast(weight), "th", "left")
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("th", F.when(F.col("dealt"), F.col("doc_id"))), F.lit(BLOCKS)).cast("int"), "part": F.when(F.col("dealt").isNotNull(), one).otherwise(0).cast("int")})
+    table = rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # bounded, see above
+    blocks: dict[tuple[int, int], int] = {}
+    for r in table:
+        blocks[r.old_shard, r.block] = blocks.get((r.old_shard, r.block), 0) + r.size
     each = -(-share // shards)
-    to = assign_blocks({(r.old_shard, r.block): r.size for r in table}, dict.fromkeys(range(shards), each))
+    to = assign_blocks(blocks, dict.fromkeys(range(shards), each))
     offset, moves = dict.fromkeys(range(shards), 0), []
-    for r in sorted(table, key=lambda r: (r.old_shard, r.block)):
+    for r in sorted(table, key=lambda r: (r.old_shard, r.block, r.part)):
         j = to[r.old_shard, r.block]
-        moves.append((r.old_shard, r.block, j, offset[j]))
+        moves.append((r.old_shard, r.block, r.part, j, offset[j]))
         offset[j] += r.n
-    plan = F.broadcast(spark.createDataFrame(moves, "old_shard int, block int, shard int, first long"))
-    rank = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "th"))
-    return rows.withColumn("rank", rank).join(plan, ["old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
+    plan = F.broadcast(spark.createDataFrame(moves, "old_shard int, block int, part int, shard int, first long"))
+    rank = F.row_number().over(Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "th"))
+    return rows.withColumn("rank", rank).join(plan, ["old_shard", "block", "part"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def rewrite(rows: DataFrame, plan: DataFrame, path: str, shards: int = 24) -> list[int]:
