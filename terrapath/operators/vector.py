@@ -204,3 +204,37 @@ def points_along(lines: DataFrame, spacing: float, vertices: str = "vertices") -
     n = F.greatest(F.ceil(F.col("line_m") / spacing).cast("int"), F.lit(1))
     t = t.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     return t.withColumn("at_m", F.col("line_m") * (F.col("__i") + 0.5) / F.col("__n")).drop("__n", "__i")
+
+
+def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices: str = "vertices") -> DataFrame:
+    """lines that come within a distance of any of the others, or cross one."""
+    a = segments(lines.withColumn("__id", F.monotonically_increasing_id()), vertices).select("__id", "x0", "y0", "x1", "y1")
+    b = segments(others, vertices).select(*[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = 4 * distance
+    low, high = lambda u, v, d: F.least(F.col(u), F.col(v)) - d, lambda u, v, d: F.greatest(F.col(u), F.col(v)) + d
+    p = spread_buckets(a, low("x0", "x1", 0), high("x0", "x1", 0), low("y0", "y1", 0), high("y0", "y1", 0), side)
+    q = spread_buckets(b, low("ox0", "ox1", distance), high("ox0", "ox1", distance), low("oy0", "oy1", distance), high("oy0", "oy1", distance), side)
+    c = {k: F.col(k) for k in ("x0", "y0", "x1", "y1", "ox0", "oy0", "ox1", "oy1")}
+
+    def turns(ax, ay, bx, by, px, py):
+        return (c[bx] - c[ax]) * (c[py] - c[ay]) - (c[by] - c[ay]) * (c[px] - c[ax])
+
+    crosses = (turns("x0", "y0", "x1", "y1", "ox0", "oy0") * turns("x0", "y0", "x1", "y1", "ox1", "oy1") < 0) & (turns("ox0", "oy0", "ox1", "oy1", "x0", "y0") * turns("ox0", "oy0", "ox1", "oy1", "x1", "y1") < 0)
+    own, other = [c[k] for k in ("x0", "y0", "x1", "y1")], [c[k] for k in ("ox0", "oy0", "ox1", "oy1")]
+    gap = F.least(point_segment(c["x0"], c["y0"], *other), point_segment(c["x1"], c["y1"], *other), point_segment(c["ox0"], c["oy0"], *own), point_segment(c["ox1"], c["oy1"], *own))
+    hit = p.join(q, ["__bx", "__by"]).where(crosses | (gap <= distance)).select("__id").distinct()
+    return lines.withColumn("__id", F.monotonically_increasing_id()).join(hit, "__id", "left_semi").drop("__id")
+
+
+def flag_fire(tracks: DataFrame, fire_lines: DataFrame | None, turning: DataFrame | None, match_m: float = 10, width_min: float = 10, turning_m: float = 20) -> DataFrame:
+    """tracks (id, class, width, vertices) plus fire: by mapped fire roads near them, or, where none are given, by shape."""
+    if fire_lines is None or not fire_lines.limit(1).count():
+        return fire_flags(tracks, turning, width_min, turning_m)
+    near = lines_within(tracks, fire_lines, match_m).select("id", F.lit(True).alias("__f"))
+    return tracks.join(near, "id", "left").withColumn("fire", F.coalesce("__f", F.lit(False))).select(*tracks.columns, "fire")
+
+
+def near_border(lines: DataFrame, x0: float, y0: float, x1: float, y1: float, margin: float, vertices: str = "vertices") -> DataFrame:
+    """lines plus near_border: whether a point of theirs lies within the margin of a box's border, or outside it."""
+    near = F.exists(vertices, lambda p: (p["x"] <= x0 + margin) | (p["x"] >= x1 - margin) | (p["y"] <= y0 + margin) | (p["y"] >= y1 - margin))
+    return lines.withColumn("near_border", near)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph, recap, relief, tiles, vector
+from ..operators import graph, preprocess, recap, relief, tiles, vector
 from .catalogue import Query, long, points, r6
 from .catalogue import POINTS as POINTS_SQL
 from .inputs import RES, SQL_GRID, grid, prepared, table
@@ -290,3 +290,32 @@ def greedy_cover(spark, d):
     ranked = recap.line_scores(cable_lines(spark, d).where("depart % 10 = 0"), Selection())
     foot = ranked.select("depart", "azimuth", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("depart", "azimuth", ((F.col("depart") * 7 + F.col("i") * F.col("azimuth")) % 9000).alias("cell"))
     return recap.greedy_cover(ranked, foot, 0.6).select("depart", "azimuth", long("rank", "rank"))
+
+
+CROSS = lambda a, b, p: f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
+
+
+def _gap(px: str, py: str, a: str, b: str) -> str:
+    t = f"CASE WHEN pow({b}x - {a}x, 2) + pow({b}y - {a}y, 2) > 0 THEN least(greatest((({px} - {a}x) * ({b}x - {a}x) + ({py} - {a}y) * ({b}y - {a}y)) / (pow({b}x - {a}x, 2) + pow({b}y - {a}y, 2)), 0e0), 1e0) ELSE 0e0 END"
+    return f"sqrt(pow({px} - ({a}x + ({t}) * ({b}x - {a}x)), 2) + pow({py} - ({a}y + ({t}) * ({b}y - {a}y)), 2))"
+
+
+@query("fire_lines_near", f"WITH {SEG_SQL}, a AS (SELECT id, x0 AS pax, y0 AS pay, x1 AS pbx, y1 AS pby FROM sg WHERE id % 10 <> 0), o AS (SELECT x0 AS pcx, y0 AS pcy, x1 AS pdx, y1 AS pdy FROM sg WHERE id % 50 = 0), h AS (SELECT DISTINCT id FROM a, o WHERE ({CROSS('pa', 'pb', 'pc')} * {CROSS('pa', 'pb', 'pd')} < 0 AND {CROSS('pc', 'pd', 'pa')} * {CROSS('pc', 'pd', 'pb')} < 0) OR least({_gap('pax', 'pay', 'pc', 'pd')}, {_gap('pbx', 'pby', 'pc', 'pd')}, {_gap('pcx', 'pcy', 'pa', 'pb')}, {_gap('pdx', 'pdy', 'pa', 'pb')}) <= 3) SELECT DISTINCT sg.id, h.id IS NOT NULL AS fire FROM sg LEFT JOIN h USING (id) WHERE sg.id % 10 <> 0")
+def fire_lines_near(spark, d):
+    t = tracks(spark, d).withColumns({"class": F.lit("track"), "width": F.lit(5.0)})
+    return vector.flag_fire(t.where("id % 10 <> 0"), t.where("id % 50 = 0"), None, 3).select("id", "fire")
+
+
+@query("near_border", f"WITH {TRACK_SQL} SELECT id, bool_or(x <= 12 OR x >= 230 OR y <= 12 OR y >= 198) AS near_border FROM v GROUP BY id")
+def near_border(spark, d):
+    return vector.near_border(tracks(spark, d), 2, 2, 240, 208, 10).select("id", "near_border")
+
+
+@query("road_classification", """WITH x AS (SELECT p_partkey, p_size, CASE p_size % 6 WHEN 0 THEN 'Route à 1 chaussée' WHEN 1 THEN 'Route empierrée' WHEN 2 THEN 'Chemin' WHEN 3 THEN 'Sentier' WHEN 4 THEN 'Autoroute' END AS n FROM part)
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'main' WHEN n = 'Chemin' THEN 'track' WHEN n = 'Route empierrée' THEN 'main' WHEN n = 'Route à 1 chaussée' THEN 'public' ELSE 'off_road' END AS annex,
+CASE WHEN n = 'Autoroute' OR p_size <= 3 THEN 'public' WHEN n IN ('Chemin', 'Sentier') THEN 'track' ELSE 'main' END AS importance, CASE WHEN n IN ('Chemin', 'Sentier', 'Route empierrée') THEN 'track' ELSE 'main' END AS words FROM x""")
+def road_classification(spark, d):
+    s = F.col("p_size") % 6
+    n = F.when(s == 0, "Route à 1 chaussée").when(s == 1, "Route empierrée").when(s == 2, "Chemin").when(s == 3, "Sentier").when(s == 4, "Autoroute")
+    p = table(spark, d, "part").withColumn("n", n)
+    return p.select("p_partkey", *[preprocess.classify_roads(F.col("n"), how, F.col("p_size"), F.col("p_size") % 7 == 0).alias(how) for how in ("annex", "importance", "words")])

@@ -399,3 +399,38 @@ def test_config_round_trip(tmp_path):
         c.write(own, str(tmp_path / name))
         assert c.read(str(tmp_path / name)) == own
     assert pd.notna(own.cable.load_kg)
+
+
+def test_inputs_are_checked(spark):
+    from terrapath.operators import preprocess as pp
+
+    g = plane(spark, 5)
+    roads = spark.createDataFrame([("track",), ("off_road",)], "class string")
+    pp.check_inputs(g, roads, 5.0, [g.where("r < 2")], [2154, None, 2154])
+    for bad in (lambda: pp.check_inputs(g.where("cell <> 7"), roads, 5.0), lambda: pp.check_inputs(g.limit(0), roads, 5.0), lambda: pp.check_inputs(g, roads, 0.0), lambda: pp.check_inputs(g, roads.selectExpr("class as k"), 5.0),
+                lambda: pp.check_inputs(g, spark.createDataFrame([("path",)], "class string"), 5.0), lambda: pp.check_inputs(g, roads, 5.0, [plane(spark, 6)]), lambda: pp.check_inputs(g, roads, 5.0, crs=[2154, 4326])):
+        with pytest.raises(ValueError):
+            bad()
+    assert pp.on_road(roads).count() == 1
+    v = spark.createDataFrame([(1, True, "real"), (2, True, "border"), (3, None, None)], "id int, violates boolean, cause string")
+    assert {r.id for r in pp.drop_real_violations(v).collect()} == {2, 3}
+
+
+def test_road_classes(spark):
+    from terrapath.operators import preprocess as pp
+
+    df = spark.createDataFrame([("Route à 1 chaussée", 5, False), ("Route empierrée", 6, False), ("Chemin", 6, False), ("Chemin", 6, True), ("Rond-point", 2, False), ("Autoroute", 1, False), (None, None, None)], "n string, i int, f boolean")
+    of = lambda how: [r.c for r in df.select(pp.classify_roads(F.col("n"), how, F.col("i"), F.col("f")).alias("c")).collect()]
+    assert of("annex") == ["public", "main", "track", "main", "off_road", "off_road", "off_road"]
+    assert of("importance") == ["main", "main", "track", "track", "public", "public", "main"]
+    assert of("words") == ["main", "track", "track", "track", "main", "main", "main"]
+    with pytest.raises(ValueError):
+        of("other")
+
+
+def test_prepare_from_lines(spark):
+    from terrapath.operators import preprocess as pp
+
+    roads = spark.createDataFrame([("main", [(2.5, 12.5), (47.0, 12.5)]), ("public", [(22.5, 1.0), (22.5, 24.0)]), ("off_road", [(1.0, 1.0), (4.0, 4.0)])], "class string, vertices array<struct<x:double,y:double>>")
+    p = {(r.r, r.c): r for r in pp.prepare(plane(spark, 10, 0.2), CONFIG, roads=roads).collect()}
+    assert p[2, 3].road == 1 and p[2, 4].road == 4 and p[0, 0].road is None and math.isclose(p[5, 5].slope_max, 20) and p[5, 5].excluded is False

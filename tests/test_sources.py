@@ -148,3 +148,31 @@ def test_membership(spark):
     for bad in ({}, {"x": 3}):
         with pytest.raises(ValueError):
             m.normalise(bad)
+
+
+def test_acquire(spark, tmp_path):
+    from terrapath.sources import acquire as aq
+
+    store, known, asked = layers.FolderStore(spark, f"file://{tmp_path}/s"), {}, []
+
+    def fetch(box):
+        asked.append(box)
+        return spark.range(len(asked))
+
+    def down(box):
+        raise remote.Unreachable("no")
+
+    box = remote.Box(0, 0, 10, 10)
+    assert aq.acquire(box, {"a": fetch}, store, known)["a"].count() == 1 and asked[0].x0 == -100
+    assert aq.acquire(box, {"a": fetch}, store, known)["a"].count() == 1 and len(asked) == 1
+    assert aq.acquire(box, {"a": fetch}, store, known, buffer_m=5)["a"].count() == 2
+    assert aq.acquire(box, {"a": fetch}, store, known, policy="accept")["a"].count() == 2
+    with pytest.raises(RuntimeError):
+        aq.acquire(box, {"a": fetch}, store, known, policy="refuse")
+    with pytest.raises(remote.Unreachable):
+        aq.acquire(box, {"b": down}, store, known)
+    assert aq.acquire(box, {"b": down}, store, known, optional=("b",)) == {}
+    grid = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, None), (1, 1, 5.0)], "r long, c long, z double")
+    assert aq.coarse_dtm(grid, 2, 0.7).first().z == 3.0
+    with pytest.raises(ValueError):
+        aq.coarse_dtm(grid, 2)
