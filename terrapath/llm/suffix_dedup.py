@@ -320,31 +320,51 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
 # contexts and their strings
 
 
+def one_each(raw: np.ndarray, h: np.ndarray, offset: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """(places to keep, packed other starts of each): a text's equal contexts are sent once, as repeated words give many."""
+    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count[inverse] > 1)
+    if not len(often):
+        return np.arange(len(h)), [None] * len(h)
+    same: dict[tuple, list[int]] = {}
+    for i in often.tolist():
+        same.setdefault((int(h[i]), int(offset[i]), raw[first[i] : first[i] + size[i]].tobytes()), []).append(i)
+    others = {p[0]: first[p[1:]].astype(np.int64).tobytes() for p in same.values() if len(p) > 1}
+    drop = [i for p in same.values() for i in p[1:]]
+    keep = np.delete(np.arange(len(h)), drop)
+    return keep, [others.get(i) for i in keep.tolist()]
+
+
 def contexts(texts: DataFrame) -> DataFrame:
-    """(gram, doc, row, first, last, start, context) of (row, doc, text, places): the strings first..last of an
-    anchor lie within the context, which starts at `start` of the text."""
+    """(gram, doc, row, first, offset, context, more) of (row, doc, text, places): an anchor's strings lie within the
+    context, which starts at `first`; `more` packs the other places where the row has the same context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple] = []
             bodies: list[np.ndarray] = []
+            more: list[bytes | None] = []
             for row, doc, text, places in zip(*b.columns, strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 h, at, first, last = anchors(raw)
                 keep = np.isin(at, np.asarray(places.values))
                 h, at, first, size = h[keep], at[keep], first[keep], (last - first + WIDTH)[keep]
+                if not len(h):
+                    continue
+                keep, again = one_each(raw, h, at - first, first, size)
+                h, at, first, size = h[keep], at[keep], first[keep], size[keep]
                 end = np.cumsum(size)
-                if len(h):
-                    bodies.append(raw[np.repeat(first - (end - size), size) + np.arange(end[-1])])
-                    found.append((h.view(np.int64), np.full(len(h), doc.as_py()), np.full(len(h), row.as_py()), first, (at - first).astype(np.int32), size))
+                bodies.append(raw[np.repeat(first - (end - size), size) + np.arange(end[-1])])
+                found.append((h.view(np.int64), np.full(len(h), doc.as_py()), np.full(len(h), row.as_py()), first, (at - first).astype(np.int32), size))
+                more += again
             if not found:
                 continue
             *columns, size = (np.concatenate(x) for x in zip(*found, strict=True))
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             ctx = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(bodies).tobytes())])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ctx], ["gram", "doc", "row", "first", "offset", "context"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ctx, pa.array(more, pa.binary())], ["gram", "doc", "row", "first", "offset", "context", "more"])
 
-    return texts.select("row", "doc", "text", "places").mapInArrow(run, "gram long, doc long, row long, first long, offset int, context binary")
+    return texts.select("row", "doc", "text", "places").mapInArrow(run, "gram long, doc long, row long, first long, offset int, context binary, more binary")
 
 
 def sorted_strings(held: list[tuple[int, int, bytes]], width: int = WIDTH) -> list[np.ndarray]:
@@ -405,19 +425,20 @@ def removed_spans(ctx: DataFrame) -> DataFrame:
 
         for b in batches:
             gram, doc, row, first, offset = (b.column(i).to_numpy().tolist() for i in range(5))
-            for g, d, r, f, o, c in zip(gram, doc, row, first, offset, b.column(5).to_pylist(), strict=True):
+            for g, d, r, f, o, c, m in zip(gram, doc, row, first, offset, b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
                 if g != last:
                     close()
                     last = g
                     if strings >= AT_ONCE:
                         yield flush()
+                starts = [f] if m is None else [f, *np.frombuffer(m, np.int64).tolist()]
                 known = seen.get((o, c))
                 if known is None:
-                    seen[o, c] = (d, [(r, f)])
+                    seen[o, c] = (d, [(r, x) for x in starts])
                 elif known[0] == d:
-                    known[1].append((r, f))
+                    known[1].extend((r, x) for x in starts)
                 else:
-                    out.append((r, f, f + len(c)))
+                    out.extend((r, x, x + len(c)) for x in starts)
             if len(out) > 1 << 16:
                 yield flush()
         close()
