@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, written
+from .common import bounded_batches, broadcast_if_small, give_back, written
 
 WIDTH, GRAM, SHALLOW = 50, 20, 24
 LAST = (1 << 63) - 1
@@ -37,7 +37,7 @@ U = np.uint64
 #: Bits of a packed word that hold a position; longer texts are taken in parts.
 PLACE = U((1 << 26) - 1)
 #: Bytes of text whose anchors meet in one bucket, anchors held before they are sent, strings sorted at a time.
-BUCKET_BYTES, HELD, AT_ONCE = 8 << 20, 1 << 21, 1 << 18
+BUCKET_BYTES, HELD, AT_ONCE = 8 << 20, 1 << 19, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -286,6 +286,7 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                     n = 0
         if n:
             yield flush()
+        give_back()
 
     sent = texts.mapInArrow(send, "bucket int, known boolean, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
@@ -313,6 +314,7 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                     last = bucket.as_py()
                 held.append((h, r, p))
         yield from flush()
+        give_back()
 
     return sent.mapInArrow(meet, "row long, places array<bigint>")
 
@@ -443,6 +445,7 @@ def removed_spans(ctx: DataFrame) -> DataFrame:
                 yield flush()
         close()
         yield flush()
+        give_back()
 
     return ordered.mapInArrow(run, "row long, start long, stop long")
 
