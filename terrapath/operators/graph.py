@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,11 +15,34 @@ from .algebra import flow_type
 from .recap import convert_until
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: Graphs of at most this many edges are one task's work.
+LOCAL = 200_000
+
+
+def united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of a few edges in one task."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    ids = list(above)
+    return pd.DataFrame({"id": ids, "component": [top(x) for x in ids]}, dtype="int64")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(id, component) of undirected edges of longs; the component is its smallest id.
 
-    Every round takes the smallest label around and then that label's own, so distances halve."""
-    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    Up to `local` edges are united in one task. Beyond, every round takes the smallest label around and then that
+    label's own, so distances halve."""
+    e = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "edges")
+    if e.limit(local + 1).count() <= local:
+        return e.groupBy(F.lit(0).alias("k")).applyInPandas(united, "id long, component long")
     both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     for _ in range(rounds):
@@ -71,10 +96,38 @@ def contract(edges: DataFrame, outlets: DataFrame) -> tuple[DataFrame, DataFrame
     return kinds.where("type <> 'passage'"), out
 
 
-def shortest_to_outlets(edges: DataFrame, outlets: DataFrame, rounds: int = 200) -> DataFrame:
+def shortest_here(edges: pd.DataFrame, outlets: pd.DataFrame) -> pd.DataFrame:
+    """Shortest ways over a few edges in one task."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    for x, y, length in zip(edges["a"].tolist(), edges["b"].tolist(), edges["length_m"].tolist(), strict=True):
+        near.setdefault(x, []).append((y, length))
+        near.setdefault(y, []).append((x, length))
+    best: dict[int, tuple[float, int]] = {int(x): (0.0, -1) for x in outlets["node"]}
+    heap = [(0.0, x) for x in best]
+    heapq.heapify(heap)
+    while heap:
+        d, x = heapq.heappop(heap)
+        if d > best[x][0]:
+            continue
+        for y, length in near.get(x, ()):
+            if y not in best or (d + length, x) < best[y]:
+                shorter = y not in best or d + length < best[y][0]
+                best[y] = (d + length, x)
+                if shorter:
+                    heapq.heappush(heap, (d + length, y))
+    rows = [(n, d, p if p >= 0 else None) for n, (d, p) in best.items()]
+    return pd.DataFrame(rows, columns=["node", "distance", "parent"]).astype({"node": "int64", "distance": "float64", "parent": "Int64"})
+
+
+def shortest_to_outlets(edges: DataFrame, outlets: DataFrame, rounds: int = 200, local: int = LOCAL) -> DataFrame:
     """(node, distance, parent): shortest way along edges (a, b, length_m) to any outlet; ties to the smaller parent.
 
-    Each round relaxes all edges at once; it stops when nothing gets shorter."""
+    Up to `local` edges one task solves; beyond, each round relaxes all edges at once until nothing gets shorter.
+    Nodes are not negative."""
+    edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("length_m").cast("double").alias("length_m")), "edges")
+    if edges.limit(local + 1).count() <= local:
+        ends = outlets.select(F.col("node").cast("long").alias("node")).distinct()
+        return edges.groupBy(F.lit(0).alias("k")).cogroup(ends.groupBy(F.lit(0).alias("k"))).applyInPandas(shortest_here, "node long, distance double, parent long")
     arcs = written(edges.select("a", "b", "length_m").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m")), "arcs")
     state = written(outlets.select(F.col("node").cast("long").alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct(), "paths")
     for _ in range(rounds):

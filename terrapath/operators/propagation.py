@@ -24,7 +24,7 @@ from .neighbours import with_halo
 TILE = 256
 SQRT2 = math.sqrt(2.0)
 STEPS = tuple((a, b, SQRT2 if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
-LABELS = "cell long, r long, c long, cost double, alloc long, pred long"
+SOLVED = "cell long, r long, c long, price double, cost double, alloc long, pred long, moved boolean"
 
 
 def solve_tile(r: np.ndarray, c: np.ndarray, cell: np.ndarray, price: np.ndarray, dist: np.ndarray, alloc: np.ndarray, res: float, cap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +74,16 @@ def propagate(cells: DataFrame, price: Column, source: Column, zone: Column | No
         "cell", "r", "c", usable.cast("double").alias("price"), F.when(is_source, F.coalesce(start, F.lit(0.0)) if start is not None else F.lit(0.0)).otherwise(F.lit(math.inf)).alias("cost"),
         F.when(is_source, source.cast("long")).otherwise(F.lit(-1)).cast("long").alias("alloc"), F.lit(-1).cast("long").alias("pred"),
     )
-    state = written(base, "propagation")
-    first = True
-
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         d, s, p = solve_tile(pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["cell"].to_numpy(), pdf["price"].to_numpy(np.float64, na_value=np.nan), pdf["cost"].to_numpy(), pdf["alloc"].to_numpy(), res, cap)
         out = pdf[["cell", "r", "c", "price"]].assign(cost=d, alloc=s, pred=p, moved=(d != pdf["cost"].to_numpy()) | (s != pdf["alloc"].to_numpy()))
         return out[pdf["own"].to_numpy()]
 
+    if base.select(F.floor(F.col("r") / tile), F.floor(F.col("c") / tile)).distinct().limit(2).count() <= 1:
+        # one tile settles at once, as part of the caller's plan
+        one = base.withColumns({"own": F.lit(True), "__t": F.lit(0)}).groupBy("__t").applyInPandas(solve, SOLVED)
+        return reached_cells(one)
+    state, first = base, True
     while True:
         wide = with_halo(state.select("cell", "r", "c", "price", "cost", "alloc", "pred"), tile)
         if not first:  # only tiles that a moved label lies in or next to
@@ -90,12 +92,14 @@ def propagate(cells: DataFrame, price: Column, source: Column, zone: Column | No
             still = wide.where("own").join(woken, ["tr", "tc"], "left_anti").select("cell", "r", "c", "price", "cost", "alloc", "pred", F.lit(False).alias("moved"))
         else:
             live, still = wide, None
-        out = live.groupBy("tr", "tc").applyInPandas(solve, "cell long, r long, c long, price double, cost double, alloc long, pred long, moved boolean")
+        out = live.groupBy("tr", "tc").applyInPandas(solve, SOLVED)
         state = written(out if still is None else out.unionByName(still), "propagation")
-        # within one tile everything is settled at once
-        if not state.where("moved").limit(1).count() or first and state.select(F.floor(F.col("r") / tile), F.floor(F.col("c") / tile)).distinct().limit(2).count() == 1:
-            break
+        if not state.where("moved").limit(1).count():
+            return reached_cells(state)
         first = False
+
+
+def reached_cells(state: DataFrame) -> DataFrame:
     return state.where("alloc >= 0").select("cell", "r", "c", "cost", "alloc", F.when(F.col("pred") >= 0, F.col("pred")).alias("pred"))
 
 

@@ -252,6 +252,7 @@ def test_components_contraction_and_flow(spark):
         for a, b, _ in e:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.id: r.component for r in graph.components(df).collect()} == label
+    assert {r.id: r.component for r in graph.components(df, local=0).collect()} == label
     outlets = spark.createDataFrame([(min(label),)], "node long")
     nodes, short = graph.contract(df, outlets)
     marked = {r.node for r in nodes.collect()}
@@ -260,6 +261,7 @@ def test_components_contraction_and_flow(spark):
     # every edge is in one chain, but for rings of passages alone
     assert sum(r.pieces for r in rows) <= len(e)
     paths = graph.shortest_to_outlets(df, outlets).cache()
+    assert sorted(map(tuple, paths.collect()), key=str) == sorted(map(tuple, graph.shortest_to_outlets(df, outlets, local=0).collect()), key=str)
     amounts = spark.createDataFrame([(x, 1.5) for x in label], "node long, amount double")
     flow = {r.node: r.flow for r in graph.accumulate(paths, amounts).collect()}
     assert math.isclose(flow[min(label)], 1.5 * sum(v == label[min(label)] for v in label.values()))
