@@ -10,8 +10,8 @@ shared token sampled with probability equal to the similarity.
    runs at which a pair at the threshold shares a bucket with probability TARGET.
 2. Within a bucket that is still large, recursion goes on splitting by further coordinates; buckets of up to
    SMALL sets are compared pair by pair on one-byte sketches, four standard deviations below the threshold.
-   What stays large at the deepest level are near-copies: each set is compared with leaders, and sets no
-   leader matches are taken again among themselves, so none is dropped.
+   What stays large at the deepest level is compared whole: a group grows by each member's look at all sets
+   that are in no group yet. A bucket above a block is dealt to block pairs.
 3. The pairs make candidate groups, and every pair of sets within a group is compared exactly. A group above
    BLOCK sets or BLOCK_SHINGLES shingles is dealt to block pairs. A task gives sums per set, never its pairs.
 4. Links join sets to classes (connected components).
@@ -40,7 +40,7 @@ BLOCK_SHINGLES = 1 << 21
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 SEEDS = np.random.default_rng(5).integers(1, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-#: Rows of one bucket that are held at a time.
+#: Sets of one bucket that meet at a time: two blocks of half as many.
 HELD = 1 << 15
 
 
@@ -147,14 +147,22 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.int16)
 
 
-def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: int = DEPTH) -> Iterator[tuple[int, int]]:
+def shared_with(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Coordinates that each of `rows` (WIDTH bytes) shares with `one`: eight bytes are counted at a time."""
+    same = (rows == one).view(U).sum(1, dtype=U)
+    return (same * U(0x0101010101010101)) >> U(56)
+
+
+def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: int = DEPTH, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs that join the sets of a bucket whose sketches share `need` coordinates, directly or through others:
-    a tree for each group, never all its pairs. Each pair of a small bucket is compared."""
+    a tree for each group, never all its pairs. With `side`, only pairs across its two values count."""
     if len(ids) < 2:
         return
     if len(ids) <= SMALL:
         m = alike(sk, sk) >= need
         np.fill_diagonal(m, False)
+        if side is not None:
+            m &= side[:, None] != side[None, :]
         for i, j in enumerate(roots(m)):
             if i != j:
                 yield int(ids[i]), int(ids[j])
@@ -167,15 +175,27 @@ def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: i
             order = np.argsort(sk[:, c], kind="stable")
             cuts = np.flatnonzero(np.diff(sk[order, c])) + 1
             for part in np.split(order, cuts):
-                yield from bucket_pairs(ids[part], sk[part], need, (h ^ (int(sk[part[0], c]) << 8)) & ((1 << 63) - 1), depth + 1)
+                yield from bucket_pairs(ids[part], sk[part], need, (h ^ (int(sk[part[0], c]) << 8)) & ((1 << 63) - 1), depth + 1, None if side is None else side[part])
         return
-    rest = np.random.default_rng(seed).permutation(len(ids))
-    while len(rest) > 1:
-        lead, others = rest[0], rest[1:]
-        near = (sk[others] == sk[lead]).sum(1) >= need
-        for j in others[near]:
-            yield int(ids[lead]), int(ids[j])
-        rest = others[~near]
+    # a group grows from its first set: each member meets all sets that are in no group yet
+    order = np.random.default_rng(seed).permutation(len(ids))
+    ids, sk, side = ids[order], sk[order], None if side is None else side[order]
+    rest, rows = np.arange(1, len(ids)), sk[1:]
+    grown = [0]
+    while len(rest):
+        if not grown:
+            grown, rest, rows = [int(rest[0])], rest[1:], rows[1:]
+            continue
+        i = grown.pop()
+        near = shared_with(rows, sk[i]) >= need
+        if side is not None:
+            near &= side[rest] != side[i]
+        if near.any():
+            found = rest[near]
+            for j in found:
+                yield int(ids[i]), int(ids[j])
+            grown += found.tolist()
+            rest, rows = rest[~near], rows[~near]
 
 
 def to_smallest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -264,31 +284,33 @@ def candidate_pairs(sketches: DataFrame, similarity: float, target: float) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(owner))], ["key", "sid"])
 
     keys = written(sketches.mapInArrow(choose, "key long, sid long"), "paths")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # a bucket above a block is dealt to pairs of blocks, so that each two of its sets meet somewhere
+    blocks = F.ceil(F.count("*") / (HELD // 2)).cast("int").alias("blocks")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), blocks).where("n > 1").select("key", "blocks")
     small = sketches.select("sid", "sketch")
-    met = keys.join(shared, "key").join(small, "sid").select("key", "sid", "sketch")
-    met = met.repartition("key").sortWithinPartitions("key")
+    met = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", "sid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.join(small, "sid").select("key", "i", "j", "own", "sid", "sketch")
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     sd = math.sqrt(similarity * (1 - similarity) / WIDTH)
     need = math.floor((similarity - 4 * sd) * WIDTH)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
-        lead: tuple | None = None
 
         def flush() -> pa.RecordBatch:
             rows = list(out)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
-        for t, more in sorted_runs(batches, ["key"], HELD):
+        for t, _ in sorted_runs(batches, ["key", "i", "j"]):
             ids = t.column("sid").to_numpy()
             # the low byte of each coordinate
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH, 4)[:, :, 0]
-            if more and lead is not None:  # a bucket in parts: each part also meets leaders of the one before
-                ids, sk = np.concatenate([lead[0], ids]), np.concatenate([lead[1], sk])
-            lead = ids[:SMALL], sk[:SMALL]
             seed = int(t.column("key")[0].as_py()) & ((1 << 62) - 1)
-            out.update(to_smallest(bucket_pairs(ids, sk, need, seed)))
+            side = t.column("own").to_numpy() if t.column("i")[0] != t.column("j")[0] else None
+            out.update(to_smallest(bucket_pairs(ids, sk, need, seed, side=side)))
             if len(out) > 1 << 16:
                 yield flush()
         yield flush()

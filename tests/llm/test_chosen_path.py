@@ -103,3 +103,45 @@ def test_bucket_pairs_join_all_alike():
     for i, j in cp.bucket_pairs(np.arange(600), sk, 84, 9, cp.DEEPEST):
         links[i, j] = links[j, i] = True
     assert len(set(cp.roots(links).tolist())) == 3
+
+
+def chain(n, apart=40):
+    """Sketches of which only neighbours share 88 of 128 coordinates."""
+    rng = np.random.default_rng(6)
+    out = [rng.integers(0, 1 << 32, cp.WIDTH, dtype=np.uint64).astype(np.uint32)]
+    for k in range(1, n):
+        out.append(out[-1].copy())
+        out[-1][(np.arange(apart) + k * apart) % cp.WIDTH] = rng.integers(0, 1 << 32, apart, dtype=np.uint64)
+    return np.array(out)
+
+
+def low(sk):
+    return np.ascontiguousarray(sk).view(np.uint8).reshape(len(sk), -1, 4)[:, :, 0]
+
+
+def groups(n, pairs):
+    links = np.zeros((n, n), bool)
+    for i, j in pairs:
+        links[i, j] = links[j, i] = True
+    return len(set(cp.roots(links).tolist()))
+
+
+def test_deepest_bucket_joins_a_chain():
+    sk = low(chain(80))
+    assert groups(80, cp.bucket_pairs(np.arange(80), sk, 84, 9, cp.DEEPEST)) == 1
+
+
+def test_sides_meet_only_across():
+    sk, side = low(chain(80)), np.arange(80) % 2
+    assert groups(80, cp.bucket_pairs(np.arange(80), sk, 84, 9, cp.DEEPEST, side)) == 1
+    pairs = list(cp.bucket_pairs(np.arange(80), sk, 84, 9, cp.DEEPEST, np.arange(80) // 40))
+    assert [sorted(p) for p in pairs] == [[39, 40]]
+
+
+def test_bucket_above_what_is_held_loses_no_pair(spark, monkeypatch):
+    """All paths end in one bucket, which is dealt to blocks."""
+    monkeypatch.setattr(cp, "HELD", 32)
+    monkeypatch.setattr(cp, "paths", lambda values, runs: (np.ones(len(values), np.uint64), np.arange(len(values))))
+    rows = [(i, s.tobytes()) for i, s in enumerate(chain(45))]
+    df = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "sid long, sketch binary")
+    assert groups(45, [(r.a, r.b) for r in cp.candidate_pairs(df, 0.8, cp.TARGET).collect()]) == 1
