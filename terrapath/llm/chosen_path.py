@@ -8,10 +8,10 @@ shared token sampled with probability equal to the similarity.
    hash of the path so far (1.25 on average, 1 / 0.8); a child is the path with the coordinate's value. Sets
    alike keep sharing paths, others part quickly. DEPTH levels make a bucket; `runs_for` gives the number of
    runs at which a pair at the threshold shares a bucket with probability TARGET.
-2. Within a bucket that is still large, recursion goes on splitting by further coordinates; buckets of up to
-   SMALL sets are compared pair by pair on one-byte sketches, four standard deviations below the threshold.
-   What stays large at the deepest level is compared whole: a group grows by each member's look at all sets
-   that are in no group yet. A bucket above a block is dealt to block pairs.
+2. Buckets are not split further, which would part alike sets again: all sets of a bucket meet, on one-byte
+   sketches, four standard deviations below the threshold. Buckets of up to SMALL sets are compared pair by pair;
+   in larger ones a group grows by each member's look at all sets that are in no group yet. A bucket above a
+   block is dealt to block pairs.
 3. The pairs make candidate groups, and every pair of sets within a group is compared exactly. A group above
    BLOCK sets or BLOCK_SHINGLES shingles is dealt to block pairs. A task gives sums per set, never its pairs.
 4. Links join sets to classes (connected components).
@@ -155,7 +155,8 @@ def shared_with(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: int = DEPTH, side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs that join the sets of a bucket whose sketches share `need` coordinates, directly or through others:
-    a tree for each group, never all its pairs. With `side`, only pairs across its two values count."""
+    a tree for each group, never all its pairs. With `side`, only pairs across its two values count. `seed` orders
+    the sets; a bucket is compared whole at any `depth`, as each further level would part alike sets again."""
     if len(ids) < 2:
         return
     if len(ids) <= SMALL:
@@ -167,16 +168,6 @@ def bucket_pairs(ids: np.ndarray, sk: np.ndarray, need: int, seed: int, depth: i
             if i != j:
                 yield int(ids[i]), int(ids[j])
         return
-    if depth < DEEPEST:
-        h = int(mix(np.array([seed + 1], np.uint64))[0])
-        width = sk.shape[1]
-        first = h % width
-        for c in [first] if (h >> 40) & 3 else [first, (first + 1 + (h >> 20) % (width - 1)) % width]:
-            order = np.argsort(sk[:, c], kind="stable")
-            cuts = np.flatnonzero(np.diff(sk[order, c])) + 1
-            for part in np.split(order, cuts):
-                yield from bucket_pairs(ids[part], sk[part], need, (h ^ (int(sk[part[0], c]) << 8)) & ((1 << 63) - 1), depth + 1, None if side is None else side[part])
-        return
     # a group grows from its first set: each member meets all sets that are in no group yet
     order = np.random.default_rng(seed).permutation(len(ids))
     ids, sk, side = ids[order], sk[order], None if side is None else side[order]
@@ -314,6 +305,7 @@ def candidate_pairs(sketches: DataFrame, similarity: float, target: float) -> Da
             if len(out) > 1 << 16:
                 yield flush()
         yield flush()
+        t = ids = sk = side = None  # what give_back() gives back
         give_back()
 
     return met.mapInArrow(compare, "a long, b long").distinct()
@@ -347,6 +339,7 @@ def exact_groups(documents: DataFrame, members: DataFrame, similarity: float) ->
             links = exact_links(sets, own if t.column("i")[0] != t.column("j")[0] else None, similarity)
             if links.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array((links @ copies).astype(np.int64)), pa.array(sid[roots(links)])], ["sid", "links", "root"])
+        t = sets = links = None
         give_back()
 
     return met.mapInArrow(compare, "sid long, links long, root long")

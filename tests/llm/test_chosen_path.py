@@ -140,8 +140,21 @@ def test_sides_meet_only_across():
 
 def test_bucket_above_what_is_held_loses_no_pair(spark, monkeypatch):
     """All paths end in one bucket, which is dealt to blocks."""
-    monkeypatch.setattr(cp, "HELD", 32)
-    monkeypatch.setattr(cp, "paths", lambda values, runs: (np.ones(len(values), np.uint64), np.arange(len(values))))
-    rows = [(i, s.tobytes()) for i, s in enumerate(chain(45))]
-    df = spark.createDataFrame([(i, bytearray(s)) for i, s in rows], "sid long, sketch binary")
-    assert groups(45, [(r.a, r.b) for r in cp.candidate_pairs(df, 0.8, cp.TARGET).collect()]) == 1
+    monkeypatch.setattr(cp, "HELD", 128)
+    monkeypatch.setattr(cp, "paths", lambda values, runs: (np.full(len(values), 9, np.uint64), np.arange(len(values))))
+    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate(chain(300))]
+    df = spark.createDataFrame(rows, "sid long, sketch binary")
+    assert groups(300, [(r.a, r.b) for r in cp.candidate_pairs(df, 0.8, cp.TARGET).collect()]) == 1
+
+
+def test_bucket_of_hundreds_keeps_pairs_at_the_threshold():
+    """Pairs at 0.8 among sets that are not alike otherwise."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, (300, cp.WIDTH)).astype(np.uint8)
+    a[:, ::3] = a[0, ::3]
+    b = a.copy()
+    for row in b:
+        at = rng.choice(cp.WIDTH, cp.WIDTH // 5, replace=False)
+        row[at] = row[at] + rng.integers(1, 256, len(at)).astype(np.uint8)
+    met = set(cp.bucket_pairs(np.arange(600), np.concatenate([a, b]), 84, 9))
+    assert {(min(p), max(p)) for p in met} == {(i, i + 300) for i in range(300)}
