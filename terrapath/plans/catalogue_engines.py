@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import algebra, engines, propagation, tiles
-from .catalogue import CONFIG, EIGHT_AZ, Query, r6
+from .catalogue import CONFIG, Query, r6
 from .inputs import RES, prepared
 
 QUERIES: dict[str, Query] = {}
@@ -24,30 +24,30 @@ def query(name: str, sql: str | None = None):
 
 @query("skidder")
 def skidder(spark, d):
-    return engines.skidder(prepared(spark, d), CONFIG, RES, EIGHT_AZ).select("cell", "access", r6("winch_m", "winch_m"), r6("drive_m", "drive_m"), r6("track_m", "track_m"), r6("distance_m", "distance_m"), "alloc")
+    return engines.skidder(prepared(spark, d), CONFIG, RES).select("cell", "access", r6("winch_m", "winch_m"), r6("drive_m", "drive_m"), r6("track_m", "track_m"), r6("distance_m", "distance_m"), "alloc")
 
 
 @query("skidder_recap")
 def skidder_recap(spark, d):
-    out = engines.skidder(prepared(spark, d), CONFIG, RES, EIGHT_AZ)
+    out = engines.skidder(prepared(spark, d), CONFIG, RES)
     return engines.machine_recap(out, "access", res=RES)
 
 
 @query("skidder_classes")
 def skidder_classes(spark, d):
-    out = engines.skidder(prepared(spark, d), CONFIG, RES, EIGHT_AZ)
+    out = engines.skidder(prepared(spark, d), CONFIG, RES)
     cls = algebra.skid_classes(F.col("access"), F.col("distance_m"), algebra.excluded(CONFIG), F.col("forest"), CONFIG.skidder.bands_m)
     return out.groupBy(cls.cast("long").alias("skid_class")).agg(F.count("*").alias("cells"))
 
 
 @query("forwarder")
 def forwarder(spark, d):
-    return engines.forwarder(prepared(spark, d), CONFIG, RES, EIGHT_AZ).select("cell", "access", r6("drive_m", "drive_m"), r6("track_m", "track_m"), r6("distance_m", "distance_m"), "alloc")
+    return engines.forwarder(prepared(spark, d), CONFIG, RES).select("cell", "access", r6("drive_m", "drive_m"), r6("track_m", "track_m"), r6("distance_m", "distance_m"), "alloc")
 
 
 @query("fire_truck")
 def fire_truck(spark, d):
-    out = engines.fire_truck(prepared(spark, d), CONFIG, algebra.road_is("fire"), RES, EIGHT_AZ)
+    out = engines.fire_truck(prepared(spark, d), CONFIG, algebra.road_is("fire"), RES)
     return out.select("cell", "hose_m", "hose_alloc", "hose_rise", F.col("defence").cast("long").alias("defence"))
 
 

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 def cable_lines(spark, d) -> tuple[DataFrame, DataFrame]:
     p = prepared(spark, d)
     starts = sources(p.where("road = 1"))
-    return cable.scan(p, starts, SMALL, RES, [0, 60, 90, 120, 180, 270])
+    return cable.scan(p, starts, SMALL, RES)
 
 
 @query("cable_scan")

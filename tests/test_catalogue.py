@@ -48,3 +48,15 @@ def test_entry(spark):
 
     rows = {r["class"]: r for r in entry.entry(spark).collect()}
     assert sum(r.cells for r in rows.values()) == 200
+
+
+@pytest.mark.parametrize("name", ["skidder", "skidder_recap", "skidder_classes", "forwarder", "fire_truck", "cable_scan", "cable_cover", "cable_selection"])
+def test_engines_sweep_all_directions(spark, monkeypatch, name):
+    from terrapath.operators import rays
+
+    seen = []
+    for law in ("straight_rays", "connected_rays"):
+        made = getattr(rays, law)
+        monkeypatch.setattr(rays, law, lambda res, reach, azimuths=None, made=made: seen.append(azimuths) or made(res, reach, azimuths))
+    queries()[name](spark, D)
+    assert seen and all(a is None or len(a) >= 360 // 5 and len({y - x for x, y in zip(a, a[1:], strict=False)}) == 1 for a in seen)
