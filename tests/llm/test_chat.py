@@ -36,3 +36,25 @@ def test_native_and_empty(spark):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert out.select(F.size("turns")).columns
+
+
+def test_mask_takes_texts_without_separators(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", CONTROL), (1, 2, "assistant", ""), (1, 3, "assistant", "&\u00e9\U0001f600"), (1, 4, "user", "x"), (1, 5, "assistant", "end"), (2, 0, "user", "none")]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in made.collect():
+        at, taken = 0, []
+        for m in r.loss_mask:
+            at += m.skip
+            taken.append(r.formatted[at : at + m.take])
+            at += m.take
+        assert "".join(taken).replace("&lt;|", "<|").replace("&amp;", "&") == "".join(t for c, _, role, t in rows if c == r.conv_id and role == "assistant")
+    got = {r.conv_id: r.loss for r in chat.read_back(made).collect()}
+    assert got == {1: CONTROL + "&\u00e9\U0001f600end", 2: ""}
+
+
+def test_query_hashes_what_the_mask_takes(spark, monkeypatch):
+    from terrapath.llm import queries
+
+    made = chat.format_conversations
+    monkeypatch.setattr(chat, "format_conversations", lambda df: made(df).withColumn("loss_mask", F.slice("loss_mask", 1, 0)))
+    assert {r.loss_chars for r in queries.op9_chat_formatting(spark, "/root/testdata/sf0.001").collect()} == {0}
