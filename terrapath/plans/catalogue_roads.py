@@ -59,26 +59,26 @@ GENTLE = Alignment(grade_min_pct=0, dz_max_m=5)
 
 @query("road_network")
 def road_network(spark, d):
-    return roads.network(prepared(spark, d).where("r < 60"), parcels(spark, d), GENTLE, RES, skidding_m=20)
+    return roads.network(prepared(spark, d), parcels(spark, d), GENTLE, RES, skidding_m=20)
 
 
 @query("road_multistart")
 def road_multistart(spark, d):
-    return roads.multistart(prepared(spark, d).where("r < 60"), parcels(spark, d), GENTLE, RES, starts=4, skidding_m=20)
+    return roads.multistart(prepared(spark, d), parcels(spark, d), GENTLE, RES, starts=4, skidding_m=20)
 
 
 @query("road_steiner")
 def road_steiner(spark, d):
-    return roads.steiner(prepared(spark, d).where("r < 60"), parcels(spark, d), GENTLE, RES)
+    return roads.steiner(prepared(spark, d), parcels(spark, d), GENTLE, RES)
 
 
 def parcels(spark, d) -> DataFrame:
-    return grid(spark, d).where("cell % 173 = 11 and r < 60 and not obstacle and road is null").select(F.col("cell").alias("parcel"), "r", "c", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    return grid(spark, d).where("cell % 173 = 11 and not obstacle and road is null").select(F.col("cell").alias("parcel"), "r", "c", F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
 @query("landing_candidates")
 def landing_candidates(spark, d):
-    t = tracks(spark, d).withColumns({"class": F.when(F.col("id") % 3 == 0, "main").otherwise("track"), "width_m": F.when(F.col("id") % 2 == 0, F.col("id") % 9).cast("double"), "fire": F.col("id") % 5 == 0})
+    t = tracks(spark, d, None).withColumns({"class": F.when(F.col("id") % 3 == 0, "main").otherwise("track"), "width_m": F.when(F.col("id") % 2 == 0, F.col("id") % 9).cast("double"), "fire": F.col("id") % 5 == 0})
     out = roads.landings(t, grid(spark, d), RES, width_min=3, grade_max_pct=20, spacing=60, window=30, forest_max_m=15)
     return out.select("id", r6("at_m", "at_m"), "access", r6("grade_pct", "grade_pct"))
 
@@ -91,9 +91,9 @@ def cross_section(spark, d):
 
 @query("road_annealed")
 def road_annealed(spark, d):
-    return roads.improve(prepared(spark, d).where("r < 60"), parcels(spark, d), GENTLE, "anneal", RES, steps=6, skidding_m=20)
+    return roads.improve(prepared(spark, d), parcels(spark, d), GENTLE, "anneal", RES, steps=6, skidding_m=20)
 
 
 @query("road_ripped_up")
 def road_ripped_up(spark, d):
-    return roads.improve(prepared(spark, d).where("r < 60"), parcels(spark, d), GENTLE, "rip_up", RES, passes=1, skidding_m=20)
+    return roads.improve(prepared(spark, d), parcels(spark, d), GENTLE, "rip_up", RES, passes=1, skidding_m=20)

@@ -31,9 +31,11 @@ TRACK_SQL = """v0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
 SEG_SQL = f"{TRACK_SQL}, seg AS (SELECT id, k, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY k)), sg AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM seg WHERE x1 IS NOT NULL)"
 
 
-def tracks(spark, d) -> DataFrame:
+def tracks(spark, d, most: int | None = 6) -> DataFrame:
+    """With most=None all events of a user; the DuckDB statements take six."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("k <= 6")
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = e if most is None else e.where(F.col("k") <= most)
     e = e.select(F.col("user_id").alias("id"), "k", (F.col("event_id") * 37 % 240 + F.lit(2.5)).alias("x"), (F.col("user_id") % 20 * 10 + F.col("event_id") * 11 % 17 * F.lit(1.0) + F.lit(0.25)).alias("y"))
     v = e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
     return v.select("id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("vertices"))
@@ -287,7 +289,7 @@ def greedy_cover(spark, d):
     from .catalogue import cable_lines
     from ..functions.config import Selection
 
-    ranked = recap.line_scores(cable_lines(spark, d).where("depart % 10 = 0"), Selection())
+    ranked = recap.line_scores(cable_lines(spark, d), Selection())
     foot = ranked.select("depart", "azimuth", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("depart", "azimuth", ((F.col("depart") * 7 + F.col("i") * F.col("azimuth")) % 9000).alias("cell"))
     return recap.greedy_cover(ranked, foot, 0.6).select("depart", "azimuth", long("rank", "rank"))
 

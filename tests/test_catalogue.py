@@ -60,3 +60,34 @@ def test_engines_sweep_all_directions(spark, monkeypatch, name):
         monkeypatch.setattr(rays, law, lambda res, reach, azimuths=None, made=made: seen.append(azimuths) or made(res, reach, azimuths))
     queries()[name](spark, D)
     assert seen and all(a is None or len(a) >= 360 // 5 and len({y - x for x, y in zip(a, a[1:], strict=False)}) == 1 for a in seen)
+
+
+@pytest.mark.parametrize("name", ["road_network", "road_multistart", "road_steiner", "road_annealed", "road_ripped_up"])
+def test_roads_take_all_rows_of_the_landscape(spark, monkeypatch, name):
+    from terrapath.operators import roads
+
+    got = {}
+    for f in ("network", "multistart", "steiner", "improve"):
+        monkeypatch.setattr(roads, f, lambda cells, parcels, *_, **__: got.update(cells=cells, parcels=parcels) or cells)
+    queries()[name](spark, "/root/testdata/sf0.1")
+    most = 20_000 // 50 - 1
+    assert got["cells"].agg({"r": "max"}).first()[0] == most
+    assert got["parcels"].where("r >= 60").count() > 0
+
+
+def test_greedy_cover_ranks_lines_of_all_departures(spark, monkeypatch):
+    from terrapath.operators import recap
+    from terrapath.plans.catalogue import cable_lines
+
+    monkeypatch.setattr(recap, "greedy_cover", lambda ranked, foot, least: ranked.withColumn("rank", ranked["depart"]))
+    assert queries()["greedy_cover"](spark, D).select("depart").distinct().count() == cable_lines(spark, D).select("depart").distinct().count()
+
+
+def test_landings_take_all_events(spark, monkeypatch):
+    from terrapath.operators import roads
+
+    got = {}
+    real = roads.landings
+    monkeypatch.setattr(roads, "landings", lambda t, *a, **k: got.update(t=t) or real(t, *a, **k))
+    queries()["landing_candidates"](spark, D)
+    assert got["t"].selectExpr("sum(size(vertices))").first()[0] == spark.read.parquet(f"{D}/events.parquet").count()
