@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, components, give_back, written
+from .common import bounded_batches, broadcast_if_small, components, give_back, sorted_runs, written
 
 K, SIMILARITY, WIDTH, DEPTH, DEEPEST, SMALL, BLOCK, TARGET = 5, 0.8, 128, 4, 14, 48, 256, 0.9999
 #: Shingles of a block of sets, on average at most.
@@ -118,30 +118,6 @@ def paths(values: np.ndarray, runs: int, depth: int = DEPTH) -> tuple[np.ndarray
     return keys, owner
 
 
-def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
-    """Stretches of rows with equal keys of a sorted stream, and whether one carries on the stretch before it.
-
-    With `most`, a stretch comes in parts of about that many rows."""
-    held, n, last, part = [], 0, None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys]
-        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-            now = tuple(c[a] for c in cols)
-            if held and (now != last or most and n >= most):
-                yield pa.Table.from_batches(held), part
-                part = now == last
-                held, n = [], 0
-            elif now != last:
-                part = False
-            held.append(b.slice(a, z - a))
-            n, last = n + int(z - a), now
-    if held:
-        yield pa.Table.from_batches(held), part
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """(rows of a, rows of b): shared coordinates."""
     return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.int16)

@@ -7,7 +7,9 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,30 @@ def give_back() -> None:
         return
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Stretches of rows with equal keys of a sorted stream, and whether one carries on the stretch before it.
+
+    With `most`, a stretch comes in parts of about that many rows."""
+    held, n, last, part = [], 0, None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        for a, z in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            now = tuple(c[a] for c in cols)
+            if held and (now != last or most and n >= most):
+                yield pa.Table.from_batches(held), part
+                part = now == last
+                held, n = [], 0
+            elif now != last:
+                part = False
+            held.append(b.slice(a, z - a))
+            n, last = n + int(z - a), now
+    if held:
+        yield pa.Table.from_batches(held), part
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text, [] for null."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
