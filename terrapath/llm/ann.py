@@ -40,7 +40,9 @@ from .common import bounded_batches, give_back, sorted_runs, written
 TABLES, SAMPLE, TARGET, SEED = 12, 64, 0.95, 17
 BLOCK_ROWS, BLOCK_QUERIES, CELL_ROWS = 16_384, 2048, 8
 #: Pairs scored at a time, and rows that a task holds before it keeps the best.
-PAIRS, HELD = 1 << 17, 1 << 20
+PAIRS, HELD = 1 << 16, 1 << 18
+#: Longest rows whose rotations are kept as matrices.
+MATRIX = 256
 FOUND = "query_id long, vec_id long, score double"
 BLOCK = "g int, i int, j int, asks boolean, id long, vec binary, cells binary"
 
@@ -79,6 +81,11 @@ def rotate(x: np.ndarray, s: np.ndarray) -> np.ndarray:
     return y
 
 
+def as_matrix(s: np.ndarray) -> np.ndarray:
+    """A pseudo-rotation as a matrix: one product takes the place of three transforms where rows are short."""
+    return np.ascontiguousarray(rotate(np.eye(s.shape[1], dtype=np.float32), s))
+
+
 class Tables:
     """The hashes of an index: `tables` tables of `axes` axes each, for vectors of dimension d.
 
@@ -89,6 +96,15 @@ class Tables:
         self.wide = padded(d + (largest is not None))
         self.signs = signs(tables * axes, self.wide).reshape(tables, axes, 3, self.wide)
         self.cells = (2 * self.wide) ** axes
+        self.matrices = [[as_matrix(s) for s in own] for own in self.signs] if self.wide <= MATRIX else None
+
+    def rotated(self, x: np.ndarray, table: int) -> Iterator[np.ndarray]:
+        """Unit rows x under each rotation of a table."""
+        if self.matrices is None:
+            yield from (rotate(x, s) for s in self.signs[table])
+            return
+        for m in self.matrices[table]:
+            yield x @ m[: x.shape[1]]
 
     def unit(self, x: np.ndarray, asks: bool) -> np.ndarray:
         x = x.astype(np.float64)
@@ -104,8 +120,7 @@ class Tables:
         """(rows, tables) cells of rows: digits base 2 * wide, twice the axis plus one on its negative side."""
         x, out = self.unit(x, False), np.zeros((len(x), self.tables), np.int64)
         for t in range(self.tables):
-            for s in self.signs[t]:
-                y = rotate(x, s)
+            for y in self.rotated(x, t):
                 axis = np.argmax(np.abs(y), 1)
                 out[:, t] = out[:, t] * 2 * self.wide + 2 * axis + (y[np.arange(len(y)), axis] < 0)
         return out
@@ -117,8 +132,7 @@ class Tables:
         each, beam = (self.wide, self.wide**2) if self.axes <= 2 else (16, 512)
         for t in range(self.tables):
             code, score = np.full((len(x), 1), t, np.int64), np.zeros((len(x), 1), np.float32)
-            for s in self.signs[t]:
-                y = rotate(x, s)
+            for y in self.rotated(x, t):
                 own = 2 * np.arange(self.wide) + (y < 0)
                 y = np.abs(y)
                 if each < self.wide:
@@ -175,8 +189,8 @@ def top(slot: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nda
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of row pairs in double precision, summed in index order so that every task gives the same bits."""
     out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j].astype(np.float64) * v[:, j].astype(np.float64)
+    for x, y in zip(np.ascontiguousarray(q.T, np.float64), np.ascontiguousarray(v.T, np.float64), strict=True):
+        out += x * y
     return out
 
 
@@ -314,7 +328,7 @@ def meet(blocks: DataFrame, k: int, kind: np.dtype) -> DataFrame:
                 qi, vi = pairs_of(np.arange(low, high), lists[low:high], own[keep])
                 best.add(ids[n:], q, ids[:n][keep], v, qi, vi)
                 low = high
-            if len(best.slots) > HELD // k:
+            if len(best.slots) > HELD // 4:
                 yield best.rows()
                 best = Best(k)
         yield best.rows()
