@@ -79,6 +79,38 @@ def test_blocks_find_all_within_the_radius(spark):
 
 def test_drop_leaks(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
-    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "clean words in this text here now"), (None, item), (None, "also clean words"), (3, None)][:3] + [(3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "clean words in this text here now"), (None, item), (None, "also clean words"), (3, None)], "doc_id long, text string")
     kept = dc.drop_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == [(2, "clean words in this text here now"), (3, None)]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == [(2, "clean words in this text here now"), (3, None), (None, "also clean words")]
+
+
+def test_long_and_repetitive_items(spark):
+    """Items of hundreds of words, many of them repeated, within longer texts."""
+    rng = random.Random(3)
+    few = [f"r{i}" for i in range(4)]
+    many = [f"t{i}" for i in range(5000)]
+    items = [(1, " ".join(rng.choice(many) for _ in range(700))), (2, " ".join(rng.choice(few) for _ in range(150))), (3, "one two three four five six " * 30)]
+    docs = []
+    for d in range(24):
+        q = items[d % 3][1].split()
+        for _ in range(rng.randrange(0, 12)):
+            q[rng.randrange(len(q))] = rng.choice(many)
+        w = [rng.choice(many if d % 2 else few) for _ in range(rng.randrange(0, 300))]
+        at = rng.randrange(len(w) + 1)
+        docs.append((d, " ".join(w[:at] + q + w[at:])))
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_counters_hold_long_windows(spark):
+    """Windows of more than 65,536 shingles: fingerprints of equal windows are equal."""
+    rows = spark.range(70_000).selectExpr("-1L AS h", "1L AS n")
+    sums = rows.agg(*[dc.F.sum(c * dc.F.col("n")).alias(n) for c, n in zip(dc.bit_counts(dc.F.col("h")), dc.COUNTERS, strict=True)], dc.F.count("*").alias("m"))
+    assert sums.select(dc.majority([dc.F.col(c) for c in dc.COUNTERS], dc.F.col("m")).alias("fp")).first().fp == -1
+
+
+def test_plan_is_native(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    for df in (dc.find_leaks(docs, items), dc.drop_leaks(docs, items)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExternalRDD"))
