@@ -6,9 +6,10 @@ unseen word is cut into n-grams: the longest n of which any is known gives the m
 the known ones; a word with no known character scores nothing. A text's score is a softmax over the
 languages of the summed evidence.
 
-The classifier is fitted on at most SAMPLE_PER_LANG documents per language, taken by hash of doc_id,
-and keeps at most WORDS_PER_LANG words and GRAMS_PER_LANG n-grams per length and language, so the
-model has a bounded size; prediction reads every whole text.
+The classifier is fitted on about SAMPLE_PER_LANG documents per language, taken by hash of doc_id,
+and keeps the words and n-grams down to the least count at which they are at most WORDS_PER_LANG words
+and GRAMS_PER_LANG n-grams per length and language, so the model has a bounded size; prediction reads
+every whole text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; ties go to the language
 first in alphabetical order; with no training rows every text is `und`; repeated rows are each
@@ -17,20 +18,30 @@ scored; other columns are ignored."""
 from __future__ import annotations
 
 import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from .common import bounded_batches
 
 SAMPLE_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, N_MAX, MIN_COUNT = 4000, 20_000, 5000, 4, 2
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def letters() -> re.Pattern:
+    """Runs of letters (Unicode category L), as training cuts them: \\w without the digits, the underscore and numbers
+    such as a half or a Roman numeral."""
+    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{''.join(numbers)}]+")
+
+
+WORD = letters()
 #: At most this many words of one text are held at a time.
 AT_ONCE = 1 << 20
 
@@ -121,17 +132,31 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if not sizes:
         return Model([], {}, {})
     # hashes below a language's share of the hash range: about `sample` documents, however many there are
-    cut = F.lit(0.0)
-    for name, n in sizes.items():
-        cut = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(cut)
-    part = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < cut * (1 << 24))
+    share = F.broadcast(labelled.sparkSession.createDataFrame([(x, min(1.0, sample / n)) for x, n in sizes.items()], "lang string, share double"))
+    part = rows.join(share, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 24)) < F.col("share") * (1 << 24))
     counted = part.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("g")).where("g <> ''").groupBy("lang", "g").agg(F.count("*").alias("c"))
     counted = counted.persist()
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
 
     def top(df: DataFrame, by: list[str], most: int) -> list:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("c"), "g"))
-        return df.where(F.col("c") >= min_count).withColumn("r", rank).where(F.col("r") <= most).collect()
+        """The most frequent of each group, by a least count drawn from how many have each count."""
+        often = df.where(F.col("c") >= min_count)
+        counts = defaultdict(list)
+        for r in often.groupBy(*by, "c").agg(F.count("*").alias("n")).collect():  # the sample is bounded, and so are its counts
+            counts[tuple(r[x] for x in by)].append((r.c, r.n))
+        least = []
+        for group, found in counts.items():
+            held, cut = 0, max(c for c, _ in found) + 1
+            for c, n in sorted(found, reverse=True):
+                held += n
+                if held > most:
+                    break
+                cut = c
+            least.append((*group, cut))
+        if not least:
+            return []
+        bound = F.broadcast(df.select(*by).limit(0).sparkSession.createDataFrame(least, df.select(*by).schema.add("least", "long")))
+        return often.join(bound, by).where(F.col("c") >= F.col("least")).select(*by, "g", "c").collect()
 
     langs = sorted(sizes)
     place = {x: i for i, x in enumerate(langs)}
@@ -145,7 +170,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     known = as_logs(top(counted, ["lang"], words), totals)
     pad = F.concat(F.lit(" "), "g", F.lit(" "))
-    cuts = F.flatten(F.array(*[F.when(F.length(pad) >= n, F.transform(F.sequence(F.lit(1), F.length(pad) - n + 1), lambda i, n=n: F.substring(pad, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, n_max + 1)]))
+
+    def cut(n: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length(pad) - n + 1), lambda i: F.substring(pad, i, F.lit(n)))
+        return F.when(F.length(pad) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    cuts = F.flatten(F.array(*map(cut, range(1, n_max + 1))))
     pieces = counted.select("lang", "c", F.explode(cuts).alias("g")).groupBy("lang", "g").agg(F.sum("c").alias("c")).withColumn("n", F.length("g")).persist()
     per = {(r.lang, r.n): r.c for r in pieces.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     found = top(pieces, ["lang", "n"], grams)
