@@ -12,7 +12,8 @@ more than once are found by a pre-aggregated group, so one payload may have a th
 
 Defined cases: a null payload is empty; rows repeated under the smallest page_id are all responses; a
 null url or page_id is written as an empty header value (page_id null reads back as null); an empty
-table gives an empty archive; other columns are ignored."""
+table gives an empty archive; other columns are ignored. A record that lacks its head, a chunk or its end, has
+rows after its end, or does not match a digest raises an error. `copy` is made once, as the archive is written."""
 
 from __future__ import annotations
 
@@ -142,11 +143,15 @@ def read(archives: DataFrame) -> DataFrame:
         names = ["page_id", "copy", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         fields, left, got, state = {}, 0, 0, sha1()
+        due = 0  # the next chunk of the open record; 0 if none is open
         for b in batches:
             out: list[list] = [[] for _ in names]
             for copy, chunk, data, running in zip(b.column(1), b.column(2), b.column(3), b.column(4), strict=True):
                 body = data.as_buffer()
-                if chunk.as_py() == 0:
+                if chunk.as_py() != due:
+                    raise ValueError(f"{fields['WARC-Record-ID']} is cut off before chunk {due}" if due else f"chunk {chunk} has no record")
+                due += 1
+                if due == 1:
                     fields, left = parse_header(body.to_pybytes())
                     got, state = 0, sha1()
                 elif left:
@@ -163,6 +168,9 @@ def read(archives: DataFrame) -> DataFrame:
                     refers = record_number(fields["WARC-Refers-To"]) if kind == "revisit" else None
                     for x, v in zip(out, (record_number(fields["WARC-Record-ID"]), copy.as_py(), int(fields["X-Payload-Length"]), named, kind, refers), strict=True):
                         x.append(v)
+                    due = 0
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+        if due:
+            raise ValueError(f"{fields['WARC-Record-ID']} is cut off before chunk {due}")
 
     return ordered.mapInArrow(run, READ)

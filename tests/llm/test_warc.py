@@ -54,6 +54,22 @@ def test_a_damaged_chunk_is_noticed(spark):
         warc.read(bad).collect()
 
 
+@pytest.mark.parametrize("lost", ["chunk = last", "chunk = 2", "chunk >= 2", "chunk = 0"])
+@pytest.mark.parametrize("page", [4, 5, 6])
+def test_a_cut_off_record_is_noticed(spark, lost, page):
+    df = spark.createDataFrame([(4, "u", "x" * 300_000, "z"), (5, "u", "y" * 300_000, "z"), (6, "u", "z" * 300_000, "z")], SCHEMA)
+    whole = warc.write(df).selectExpr("*", "max(chunk) OVER (PARTITION BY page_id) AS last").coalesce(1)
+    with pytest.raises(Exception, match="cut off|has no record"):
+        warc.read(whole.where(f"NOT (page_id = {page} AND {lost})").drop("last")).collect()
+
+
+def test_a_chunk_too_many_is_noticed(spark):
+    whole = warc.write(spark.createDataFrame([(4, "u", "abc", "z")], SCHEMA))
+    again = whole.unionByName(whole.where("chunk = 2").selectExpr("archive", "page_id", "copy", "3L AS chunk", "data", "running_sha1"))
+    with pytest.raises(Exception, match="has no record"):
+        warc.read(again).collect()
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == []
 
