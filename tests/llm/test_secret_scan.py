@@ -37,6 +37,46 @@ def test_kinds_and_allow_list():
     assert [k for *_, k in base] == ["assign"] and [k for *_, k in all_] == ["entropy", "assign", "entropy"]
 
 
+def test_letters_and_dates_that_hide_keys():
+    for key in ("aBcDkLmQrXzTvWpNoYgHuIeJ", "2024-01-15_Zx9Kq2Lm7Pw4Tb8Rv1Yc6Nd3", "2024-01-15T9f86d081884c7d659a2feaa0c55ad015"):
+        assert ss.is_secret(key), key
+    for harmless in ("getElementByIdentifierName", "SOME_LONG_CONSTANT_NAME_HERE", "2024-01-15-a-post-about-many-things", "2024-01-15T10-30-00Z", "20240115103000123456"):
+        assert not ss.is_secret(harmless), harmless
+
+
+def brute_entropy(t):
+    """Entropy spans by the definition, each window counted anew."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+        s = m.group()
+        while d := re.match(r"\d{4}-\d{2}-\d{2}[T_-]", s):
+            if any(p.fullmatch(s) for p in ss.ALLOW):
+                break
+            s = s[d.end() :]
+        if len(s) < 20 or any(p.fullmatch(s) for p in ss.ALLOW):
+            continue
+        if re.fullmatch("[A-Za-z_-]+", s) and not re.search("(^|[^a-z])[a-z]([^a-z]|$)", s):
+            continue
+        most = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+        if most >= (3.0 if re.fullmatch("[0-9a-fA-F]+", s) else 3.9) - 1e-9:
+            out.append((m.start(), 3, f"entropy:{m.start()}:{m.end()}"))
+    return out
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["2024-01-15T", "aB", "token=", "0123456789", "9f86d081", "Zx9Kq2Lm7Pw4", " ", "_", "words", "é", "/path/to", "=", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(500)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    n = 0
+    for t in texts:
+        base = [(int(x.split(":")[1]), ss.KINDS.index(x.split(":")[0]), x) for x in brute_base(t).split(",") if x]
+        extra = brute_entropy(t)
+        n += len(extra)
+        assert ss.joined(ss.scan(t)[1]) == ",".join(x for *_, x in sorted(base + extra))
+    assert n > 100
+
+
 def test_base_patterns_at_the_edges():
     rng = random.Random(2)
     parts = ["password", "PassWD", "token", "ſecret", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEF1234567890", "x", ".", "é", "\n", "0123456789abcdef0", "secret=token=abcdefghijkl", "token:password:abcdefghijklmn"]
