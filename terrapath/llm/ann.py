@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, give_back, sorted_runs, written
 
 TABLES, SAMPLE, TARGET, SEED = 12, 64, 0.95, 17
-BLOCK_ROWS, BLOCK_QUERIES, CELL_ROWS = 16_384, 2048, 8
+BLOCK_ROWS, BLOCK_QUERIES, CELL_ROWS = 16_384, 8192, 8
 #: Pairs scored at a time, and rows that a task holds before it keeps the best.
 PAIRS, HELD = 1 << 16, 1 << 18
 #: Longest rows whose rotations are kept as matrices.
@@ -399,7 +399,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, tables: int =
 
     # tables * ranges groups: their sizes are small, however many rows there are
     sizes = v.mapInArrow(count, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 0")
-    asked = written(q.mapInArrow(ask, "g int, id long, vec binary, cells binary"), "asked")
+    # a query's probes cost more than its bytes tell, so queries are spread over all cores
+    asked = written(q.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(ask, "g int, id long, vec binary, cells binary"), "asked")
     sizes = sizes.join(asked.groupBy("g").agg(F.count("*").alias("m")), "g")
     sizes = F.broadcast(sizes.select("g", F.ceil(F.col("n") / (2 * BLOCK_ROWS)).cast("int").alias("rb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb")))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Separates words: whatever is neither a letter nor a number.
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: A table of at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A table of at most this many bytes may be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -66,9 +66,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow, already written table if its counted rows are few; else leave the join to Spark."""
-    return F.broadcast(df) if df.count() <= most else df
+def row_bytes(df: DataFrame) -> Column:
+    """What a row weighs: 16 bytes, 8 per column, and what its strings and arrays hold."""
+    size = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            size += 16 * F.coalesce(F.size(f.name), F.lit(0))
+    return size
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast an already written table if its bytes, counted first, are few; else leave the join to Spark."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= most else df
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
