@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, chosen_path, decontam, langid, reshard, secret_scan, sentencepiece_offsets, suffix_dedup, warc
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,14 @@ def op2_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reshard.reshard(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """Documents are stored in 16 shards, resharded to 24, rewritten, and read back from the files."""
+    path = new_path(spark, "shards")
+    stored = reshard.store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows, _ = reshard.planned(stored, shards=24, old_shards=16, old=F.col("shard"), carry=("text",))
+    reshard.rewrite(rows.drop("size", "text_crc32"), list(range(24)), path)  # all, as the old files have no slots yet
+    back = spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
+    return back.select("doc_id", reshard.sizes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +104,15 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_chunked_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM d
+""",
     "op7_chosen_path_join": r"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 s AS (SELECT DISTINCT id, list_aggregate(w[p:p+least(5, len(w))-1], 'string_agg', ' ') AS h FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM t WHERE len(w) > 0)),

@@ -5,23 +5,30 @@ that moves costs 1. Documents are grouped into blocks (BLOCKS per old shard, by
 so equal texts stay together); the solver sees at most old shards x BLOCKS sizes however large the
 data. Groups of equal texts above half a shard are split over blocks by doc_id, so one text may
 hold a third of all rows. Every step but the solver is a Spark plan, and only shards that gain or
-lose blocks are rewritten.
+lose blocks are rewritten: their rows go through one shuffle, by new shard, that serves the slots and
+the files; the new files lie ready beside the old ones, and a journal lets `recover` finish a swap
+that broke off.
 
-Defined cases: a null text has size 8 and the CRC of no bytes (0); repeated rows are all kept and
-get slots of their own; an empty table gives no rows; other columns are ignored."""
+Defined cases: a null text has size 8 and the CRC of no bytes (0); repeated rows and null or repeated
+doc_ids are all kept and get slots of their own; an empty table gives no rows; other columns are ignored,
+but for those that `carry` names."""
 
 from __future__ import annotations
 
 import heapq
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_table, new_path, written
+from .common import drop_table
 
 #: Blocks per old shard, and parts that the rows of a frequent text are ranked in.
 BLOCKS, PARTS = 1024, 32
+#: Bytes of a shard's file, about.
+FILE_BYTES = 256 << 20
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -104,17 +111,21 @@ def sizes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def reshard(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: Column | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) with shards of near equal bytes.
+def planned(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: Column | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[int]]:
+    """Rows (doc_id, size, text_crc32, old_shard, shard, slot, and the columns `carry` names), and the shards that gain
+    or lose rows. The rows of a shard lie in few partitions, about FILE_BYTES each.
 
     `old` gives a row's present shard, 0 to old_shards - 1; without it, a hash of the text does."""
     spark = documents.sparkSession
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = documents.select("doc_id", sizes(F.col("text")).alias("size"), crc.cast("long").alias("text_crc32"), th.alias("th"), (old if old is not None else F.pmod(th, F.lit(old_shards))).cast("int").alias("old_shard"))
+    kept = [F.col(c).alias(f"__{c}") for c in carry]
+    rows = documents.select("doc_id", sizes(F.col("text")).alias("size"), crc.cast("long").alias("text_crc32"), th.alias("th"), (old if old is not None else F.pmod(th, F.lit(old_shards))).cast("int").alias("old_shard"), *kept)
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     share = rows.agg(F.sum("size")).first()[0]
     if not share:
-        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long")
+        empty = rows.limit(0).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return empty.select(*names, *[F.col(f"__{c}").alias(c) for c in carry]), []
     # texts whose copies weigh more than 1/64 of a shard (64 * shards of them at most) are ranked in parts, and those
     # above half a shard are dealt to all blocks
     weight = rows.groupBy("th").agg(F.sum("size").alias("all")).where(F.col("all") > share / (64 * shards)).select("th", (F.col("all") > share / (2 * shards)).alias("dealt"))
@@ -133,30 +144,74 @@ def reshard(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: C
         moves.append((r.old_shard, r.block, r.part, j, offset[j]))
         offset[j] += r.n
     plan = F.broadcast(spark.createDataFrame(moves, "old_shard int, block int, part int, shard int, first long"))
-    rank = F.row_number().over(Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "th"))
-    return rows.withColumn("rank", rank).join(plan, ["old_shard", "block", "part"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
+    files = -(-each // FILE_BYTES)
+    placed = rows.join(plan, ["old_shard", "block", "part"]).withColumn("file", F.pmod(F.xxhash64("old_shard", "block", "part"), F.lit(files)).cast("int"))
+    # dealt by shard and file already, so the ranking needs no shuffle of its own
+    rank = F.row_number().over(Window.partitionBy("shard", "file", "old_shard", "block", "part").orderBy("doc_id", "th"))
+    ranked = placed.repartition("shard", "file").withColumn("slot", (F.col("first") + rank - 1).cast("long"))
+    affected = {s for o, b, _, j, _ in moves if o != j for s in (o, j)}
+    return ranked.select(*names, *[F.col(f"__{c}").alias(c) for c in carry]), sorted(affected)
+
 
+def reshard(documents: DataFrame, shards: int = 24, old_shards: int = 16, old: Column | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot) with shards of near equal bytes."""
+    return planned(documents, shards, old_shards, old)[0]
 
-def rewrite(rows: DataFrame, plan: DataFrame, path: str, shards: int = 24) -> list[int]:
-    """Bring the files under `path` (one folder `shard=N` each) in line with `plan`; returns the shards rewritten.
 
-    Only shards that gain or lose a row are written again; they are staged beside `path` first, so a lost
-    executor leaves the old files whole. `rows` holds the documents with doc_id; doc_id must be unique here."""
-    spark = rows.sparkSession
-    moved = plan.where(~F.col("old_shard").eqNullSafe(F.col("shard"))).select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    affected = sorted(r.s for r in moved.collect())  # bounded by the numbers of shards
+def store(documents: DataFrame, path: str, shards: int = 16) -> DataFrame:
+    """Write documents to files under `path`, one folder `shard=N` each, by hash of the text, and return them read back."""
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    documents.withColumn("shard", F.pmod(th, F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(documents.schema.add("shard", "integer")).parquet(path)
+
+
+def files_of(spark, path: str):
+    """The file system of `path`, and its constructor of paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def rewrite(rows: DataFrame, affected: list[int], path: str) -> list[int]:
+    """Bring the files under `path` (one folder `shard=N` each) in line with `rows`, as `planned` gives them with the
+    columns to store; returns the shards rewritten.
+
+    Only `affected` shards are written again. They are staged under `path` in a folder that readers skip; then a
+    journal is left and the folders are swapped. Whatever breaks off before the journal leaves the old files whole,
+    and what breaks off after it is finished by `recover`."""
     if not affected:
         return []
-    kept = plan.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    fresh = written(rows.join(kept, "doc_id"), "reshard")
-    stage = new_path(spark, "stage")
-    fresh.repartition(len(affected) * 4, "shard", F.pmod("slot", F.lit(4))).write.partitionBy("shard").parquet(stage)
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(fs_path(path))
-    for s in affected:
-        drop_table(spark, f"{path}/shard={s}")
-        if fs.exists(fs_path(f"{stage}/shard={s}")):
-            fs.rename(fs_path(f"{stage}/shard={s}"), fs_path(f"{path}/shard={s}"))
+    spark = rows.sparkSession
+    stage = f"{path}/_stage-{uuid.uuid4().hex}"
+    rows.where(F.col("shard").isin(affected)).drop("old_shard").write.partitionBy("shard").option("compression", "zstd").parquet(stage)
+    fs, make = files_of(spark, path)
+    full = [s for s in affected if fs.exists(make(f"{stage}/shard={s}"))]
+    out = fs.create(make(f"{stage}.json.new"))
+    out.write(bytearray(json.dumps({"stage": stage, "full": full, "empty": sorted(set(affected) - set(full))}).encode()))
+    out.close()
+    fs.rename(make(f"{stage}.json.new"), make(f"{stage}.json"))
+    recover(spark, path)
     return affected
+
+
+def recover(spark, path: str) -> None:
+    """Finish the swaps whose journals lie under `path`; may be called again after any failure."""
+    fs, make = files_of(spark, path)
+    for status in fs.globStatus(make(f"{path}/_stage-*.json")) or []:
+        journal = status.getPath().toString()
+        text = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+        stream, size = fs.open(make(journal)), status.getLen()
+        todo = json.loads(bytes(stream.readNBytes(size)).decode())
+        text.closeStream(stream)
+        for s in todo["full"]:
+            if fs.exists(make(f"{todo['stage']}/shard={s}")):  # else it is in place already
+                drop_table(spark, f"{path}/shard={s}")
+                move(fs, make(f"{todo['stage']}/shard={s}"), make(f"{path}/shard={s}"))
+        for s in todo["empty"]:
+            drop_table(spark, f"{path}/shard={s}")
+        drop_table(spark, todo["stage"])
+        drop_table(spark, journal)
+
+
+def move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source.toString()} can't be moved to {target.toString()}")

@@ -52,16 +52,62 @@ def test_equal_texts_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
-def test_rewrite_touches_only_affected_shards(spark, tmp_path):
-    rows = spark.createDataFrame([(i, "x" * (200 if i < 10 else 20)) for i in range(60)], "doc_id long, text string")
-    old = F.when(F.col("doc_id") < 40, 0).otherwise(F.col("doc_id") % 2 + 1)
+def test_rounding_to_blocks_moves_little_more():
+    rng = random.Random(3)
+    for old, n, blocks in ((16, 24, 1024), (5, 3, 60), (3, 8, 200)):
+        sizes = {(i, b): rng.randrange(1, 2000) for i in range(old) for b in range(blocks)}
+        supply = {i: sum(s for (o, _), s in sizes.items() if o == i) for i in range(old)}
+        cap = dict.fromkeys(range(n), -(-sum(supply.values()) // n))
+        least = sum(f for (i, j), f in rs.min_cost_flow(supply, cap).items() if i != j)
+        to = rs.assign_blocks(sizes, cap)
+        assert set(to) == set(sizes)
+        moved = sum(s for k, s in sizes.items() if to[k] != k[0])
+        assert moved <= 1.01 * least + 2000
+
+
+def stored(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * (200 if i < 10 else 20)) for i in range(60)] + [(None, "n"), (None, "m"), (59, "again")], "doc_id long, text string")
+    old = F.when(F.col("doc_id") < 40, 0).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)) % 2 + 1).cast("int")
     path = f"file://{tmp_path}/shards"
     rows.withColumn("shard", old).write.partitionBy("shard").parquet(path)
-    plan = rs.reshard(rows, shards=4, old_shards=3, old=old).cache()
-    touched = rs.rewrite(rows, plan, path, 4)
-    assert touched == sorted({s for r in plan.where("old_shard <> shard").collect() for s in (r.old_shard, r.shard)})
-    got = {(r.doc_id, r.shard) for r in spark.read.parquet(path).select("doc_id", "shard").collect()}
-    assert got == {(r.doc_id, r.shard) for r in plan.collect()}
+    kept = spark.read.schema("doc_id long, text string, shard int").parquet(path)
+    return path, *rs.planned(kept, shards=4, old_shards=3, old=F.col("shard"), carry=("text",))
+
+
+def rows_of(spark, path):
+    return sorted([(r.doc_id, r.text, r.shard, r.slot) for r in spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).collect()], key=str)
+
+
+def test_rewrite_touches_only_affected_shards(spark, tmp_path):
+    path, plan, affected = stored(spark, tmp_path)
+    want = sorted([(r.doc_id, r.text, r.shard, r.slot) for r in plan.collect()], key=str)
+    assert affected == sorted({s for r in plan.where("old_shard <> shard").collect() for s in (r.old_shard, r.shard)})
+    assert rs.rewrite(plan.drop("size", "text_crc32"), affected, path) == affected
+    assert rows_of(spark, path) == want
+    assert not [f for f in (tmp_path / "shards").iterdir() if f.name.startswith("_stage")]
+    assert rs.rewrite(plan, [], path) == []
+
+
+def test_a_swap_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
+    path, plan, affected = stored(spark, tmp_path)
+    want = sorted([(r.doc_id, r.text, r.shard, r.slot) for r in plan.collect()], key=str)
+    real, calls = rs.move, []
+
+    def breaks(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("lost")
+        real(*a)
+
+    monkeypatch.setattr(rs, "move", breaks)
+    try:
+        rs.rewrite(plan.drop("size", "text_crc32"), affected, path)
+        raise AssertionError("the swap did not break off")
+    except OSError:
+        pass
+    rs.recover(spark, path)
+    assert rows_of(spark, path) == want
+    rs.recover(spark, path)
 
 
 def test_query(spark):
