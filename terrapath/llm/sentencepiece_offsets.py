@@ -18,6 +18,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
@@ -118,14 +119,15 @@ class Normalizer:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """A model, given as the bytes of its file."""
+
+    def __init__(self, model: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
-        self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto.ParseFromString(model)
+        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = Normalizer(proto.normalizer_spec)
         kinds = type(proto.pieces[0])
         self.unknown = self.lib.unk_id()
@@ -159,9 +161,15 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per Python worker; the model file is a parameter that every executor can open."""
-    return Encoder(path)
+def encoder(model: bytes) -> Encoder:
+    """One per Python worker."""
+    return Encoder(model)
+
+
+def shipped(df: DataFrame, model_path: str) -> Broadcast:
+    """The model's bytes (a few MB whatever the corpus), read by the driver: executors need not see the file."""
+    with open(model_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -172,10 +180,10 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
     """documents' rows as (doc_id, ids, starts, stops): piece ids and their source byte spans."""
     bounded_batches(documents.sparkSession, 64)
-    rows = documents.select("doc_id", "text")
+    rows, model = documents.select("doc_id", "text"), shipped(documents, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_path)
+        e = encoder(model.value)
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
             ids = [e.ids(t) for t in texts]
@@ -189,10 +197,10 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give null."""
     bounded_batches(encoded.sparkSession, 64)
-    rows = encoded.select("doc_id", "ids")
+    rows, model = encoded.select("doc_id", "ids"), shipped(encoded, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_path)
+        e = encoder(model.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else e.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
@@ -200,16 +208,18 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(documents: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): what encode and decode give, as digests.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_sha256): what encode and decode give, as digests.
 
-    Every text's pieces are projected to source spans, which must tile it: n_bytes sums their lengths."""
+    Every text's pieces are projected to source spans, which must tile it: n_bytes sums their lengths, and
+    spans_sha256 is the digest of all starts, then all stops, as little-endian 64-bit numbers."""
     bounded_batches(documents.sparkSession, 64)
-    rows = documents.select("doc_id", "text")
+    rows, model = documents.select("doc_id", "text"), shipped(documents, model_path)
+    schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_bytes", "long").add("spans_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(model_path)
+        e = encoder(model.value)
         for b in batches:
-            n, a, d, covered = [], [], [], []
+            n, a, d, covered, spans = [], [], [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 ids = e.ids(text)
@@ -218,6 +228,7 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
                 d.append(sha256(e.decode(ids).encode()).hexdigest())
                 starts, stops = e.spans(text, ids)
                 covered.append(int((stops - starts).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+                spans.append(sha256(starts.astype("<i8").tobytes() + stops.astype("<i8").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), pa.array(covered, pa.int64()), pa.array(spans, pa.string())], schema.names)
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("n_bytes", "long"))
+    return rows.mapInArrow(run, schema)

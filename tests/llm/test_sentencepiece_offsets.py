@@ -1,5 +1,6 @@
 import struct
 from hashlib import sha256
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -18,7 +19,7 @@ def lib():
 
 
 def test_ids_spans_and_decoding_match_the_library(lib):
-    e = so.Encoder(model_path())
+    e = so.Encoder(Path(model_path()).read_bytes())
     for t in TEXTS:
         ids = e.ids(t)
         assert ids.tolist() == lib.encode(t or "", add_eos=True)
@@ -39,14 +40,50 @@ def test_operator_round_trip(spark, lib):
     assert so.encode(df.limit(0), model_path()).count() == 0
 
 
+def library_spans(lib, text):
+    """(start, stop) source bytes of each of the library's pieces. It gives a code point that byte pieces share to the
+    last of them; those are dealt one byte each."""
+    out, shared = [], 0
+    for p in lib.encode(text, return_type="proto").pieces:
+        if lib.is_byte(p.id):
+            out.append((p.begin + shared, p.begin + shared + 1))
+            shared = 0 if p.end > p.begin else shared + 1
+        else:
+            out.append((p.begin, p.end))
+    return [*out, (len(text.encode()),) * 2]
+
+
 def test_query_against_library(spark, lib):
     d = "/root/testdata/sf0.001"
     want = {}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
         ids = lib.encode(r.text or "", add_eos=True)
-        want[r.doc_id] = (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(lib.decode(ids).encode()).hexdigest(), len((r.text or "").encode()))
+        spans = np.array(library_spans(lib, r.text or ""), "<i8")
+        digest = sha256(spans[:, 0].tobytes() + spans[:, 1].tobytes()).hexdigest()
+        want[r.doc_id] = (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(lib.decode(ids).encode()).hexdigest(), len((r.text or "").encode()), digest)
     got = QUERIES["op10_sentencepiece_offsets"](spark, d).collect()
-    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_bytes) for r in got} == want
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_bytes, r.spans_sha256) for r in got} == want
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+def test_a_real_character_map_against_the_library(rule):
+    """The library's own compiled maps: normalised text, and where each of its code points comes from."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    n = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(n.serialized_model_proto())
+    assert len(proto.normalizer_spec.precompiled_charsmap) > 100_000
+    own = so.Normalizer(proto.normalizer_spec)
+    texts = [t for t in TEXTS if t is not None and "\0" not in t] + ["ＫＡＤＯＫＡＷＡ   ABC ①½ ﬁ", "ﷺ ㍿ ｶﾞ é Å", " \u3000 ", "İSTANBUL ẞ ǅ", "a\u200bb\ufeffc"]
+    for t in texts:
+        want, offsets = n.normalize(t, with_offsets=True)
+        got, align = own(t)
+        assert got.decode() == want, t
+        raw, place = t.encode(), 0
+        for c, at in zip(want, offsets, strict=False):
+            assert len(raw[: align[place]].decode(errors="ignore")) == at, (t, c)
+            place += len(c.encode())
 
 
 def trie(pairs: dict[bytes, bytes]) -> bytes:
