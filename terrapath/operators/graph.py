@@ -35,25 +35,31 @@ def united(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "component": [top(x) for x in ids]}, dtype="int64")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, local: int = LOCAL) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL) -> DataFrame:
     """(id, component) of undirected edges of longs; the component is its smallest id.
 
-    Up to `local` edges are united in one task. Beyond, every round takes the smallest label around and then that
-    label's own, so distances halve."""
+    Up to `local` edges are united in one task."""
     e = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "edges")
     if e.limit(local + 1).count() <= local:
         return e.groupBy(F.lit(0).alias("k")).applyInPandas(united, "id long, component long")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        low = label.join(near.select(F.col("a").alias("id"), "m"), "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("low"))
-        up = label.select(F.col("id").alias("low"), F.col("component").alias("up"))
-        new = written(low.join(up, "low", "left").select("id", "was", F.least("low", F.coalesce("up", "low")).alias("component")), "labels")
-        label = new.select("id", "component")
-        if not new.where("was <> component").limit(1).count():
-            return label
-    raise RuntimeError(f"components not settled after {rounds} rounds")
+    # each round every node takes its smallest neighbour, labels jump once, and the edges are drawn anew between labels:
+    # they shrink by half or more, so a chain of any length is settled in some log2 of it rounds
+    e = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    ids = written(edges.select(F.explode(F.array(F.col(a).cast("long"), F.col(b).cast("long"))).alias("id")).distinct(), "nodes")
+    maps: list[DataFrame] = []
+    while e.limit(1).count():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("up")), "hook")
+        jump = written(hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "jump")
+        maps.append(jump)
+        x, y = jump.select(F.col("id").alias("a"), F.col("up").alias("x")), jump.select(F.col("id").alias("b"), F.col("up").alias("y"))
+        met = e.join(x, "a").join(y, "b").where("x <> y")
+        e = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    label = ids.select("id", F.col("id").alias("component"))
+    for m in maps:
+        up = m.select(F.col("id").alias("component"), "up")
+        label = label.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return label
 
 
 def fine_edges(cells: DataFrame, network: Column, res: float = 5.0) -> DataFrame:
@@ -119,26 +125,57 @@ def shortest_here(edges: pd.DataFrame, outlets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "distance", "parent"]).astype({"node": "int64", "distance": "float64", "parent": "Int64"})
 
 
-def shortest_to_outlets(edges: DataFrame, outlets: DataFrame, rounds: int = 200, local: int = LOCAL) -> DataFrame:
+def relaxed(arcs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, distance, parent) by rounds until nothing gets shorter; a round joins only what the last one moved."""
+    state = written(ends.select("node", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("moved")), "paths")
+    while state.where("moved").limit(1).count():
+        front = state.where("moved").select(F.col("node").alias("a"), "distance")
+        step = front.join(arcs, "a").groupBy("b").agg(F.min(F.struct((F.col("distance") + F.col("length_m")).alias("d"), F.col("a").alias("p"))).alias("m"))
+        j = state.drop("moved").join(step.select(F.col("b").alias("node"), "m"), "node", "full")
+        shorter = F.col("m").isNotNull() & (F.col("distance").isNull() | (F.col("m.d") < F.col("distance")))
+        tied = F.col("m").isNotNull() & (F.col("m.d") == F.col("distance")) & (F.col("m.p") < F.col("parent"))
+        pick = lambda new, old: F.when(shorter | tied, F.col(new)).otherwise(F.col(old))
+        state = written(j.select("node", pick("m.d", "distance").alias("distance"), pick("m.p", "parent").alias("parent"), F.coalesce(shorter, F.lit(False)).alias("moved")), "paths")
+    return state.drop("moved")
+
+
+def shortest_to_outlets(edges: DataFrame, outlets: DataFrame, local: int = LOCAL) -> DataFrame:
     """(node, distance, parent): shortest way along edges (a, b, length_m) to any outlet; ties to the smaller parent.
 
-    Up to `local` edges one task solves; beyond, each round relaxes all edges at once until nothing gets shorter.
-    Nodes are not negative."""
+    Up to `local` edges one task solves. Beyond, chains between junctions, leaves and outlets are first made one edge
+    each; the contracted graph settles in as many rounds as a way has junctions, however long the chains are, and the
+    nodes within a chain take the nearer of its ends. Nodes are not negative."""
     edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("length_m").cast("double").alias("length_m")), "edges")
+    ends = outlets.select(F.col("node").cast("long").alias("node")).distinct()
     if edges.limit(local + 1).count() <= local:
-        ends = outlets.select(F.col("node").cast("long").alias("node")).distinct()
         return edges.groupBy(F.lit(0).alias("k")).cogroup(ends.groupBy(F.lit(0).alias("k"))).applyInPandas(shortest_here, "node long, distance double, parent long")
-    arcs = written(edges.select("a", "b", "length_m").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m")), "arcs")
-    state = written(outlets.select(F.col("node").cast("long").alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct(), "paths")
-    for _ in range(rounds):
-        step = state.join(arcs, state["node"] == arcs["a"]).groupBy("b").agg(F.min(F.struct((F.col("distance") + F.col("length_m")).alias("d"), F.col("node").alias("p"))).alias("m"))
-        j = state.join(step.select(F.col("b").alias("node"), "m"), "node", "full")
-        better = F.col("m").isNotNull() & (F.col("distance").isNull() | (F.col("m.d") < F.col("distance")) | ((F.col("m.d") == F.col("distance")) & (F.col("m.p") < F.col("parent"))))
-        new = written(j.select("node", F.when(better, F.col("m.d")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("m.p")).otherwise(F.col("parent")).alias("parent"), F.coalesce(better, F.lit(False)).alias("moved")), "paths")
-        state = new.select("node", "distance", "parent")
-        if not new.where("moved").limit(1).count():
-            return state
-    raise RuntimeError(f"paths not settled after {rounds} rounds")
+    arcs = lambda e: written(e.select("a", "b", "length_m").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "length_m")), "arcs")
+    kept = node_types(edges.where("a <> b"), ends).where("type <> 'passage'").select("node")
+    inner = written(degrees(edges).select("node").join(kept, "node", "left_anti"), "inner")
+    if not inner.limit(1).count():
+        return relaxed(arcs(edges), ends)
+    # distances of the nodes that chains run between
+    _, chains = contract(edges.where("a <> b"), ends)
+    far = written(relaxed(arcs(chains.where("a <> b")), ends), "far")
+    # along a chain the distance is that of its end plus the way there: doubling finds both ends of every inner node
+    both = arcs(edges.where("a <> b"))
+    hop = both.join(inner.select(F.col("node").alias("a")), "a", "left_semi")
+    walk = written(hop.select(F.col("a").alias("node"), F.col("b").alias("first"), F.col("b").alias("at"), F.col("a").alias("back"), "length_m").withColumn("open", F.lit(True)).join(inner.select(F.col("node").alias("at"), F.lit(True).alias("in")), "at", "left").withColumn("open", F.coalesce("in", F.lit(False))).drop("in"), "walk")
+    for _ in range(inner.count().bit_length()):  # no chain has more nodes; what is open then runs round a ring
+        # a walk that came to `at` from `back` goes on as the walk of `at` whose first step is not back there
+        on = walk.select(F.col("node").alias("at"), F.col("first").alias("f2"), F.col("at").alias("at2"), F.col("back").alias("back2"), F.col("length_m").alias("l2"), F.col("open").alias("open2"))
+        moved = walk.where("open").join(on, "at").where("f2 <> back")
+        moved = moved.where("at2 <> node").select("node", "first", F.col("at2").alias("at"), F.col("back2").alias("back"), (F.col("length_m") + F.col("l2")).alias("length_m"), F.col("open2").alias("open"))
+        walk = written(walk.where("not open").unionByName(moved), "walk")
+        if not walk.where("open").limit(1).count():
+            break
+    best = walk.where("not open").join(far.select(F.col("node").alias("at"), "distance"), "at").groupBy("node").agg(F.min((F.col("distance") + F.col("length_m"))).alias("distance"))
+    dist = written(far.select("node", "distance").unionByName(best), "distance")
+    # the parent is the smallest neighbour on a shortest way
+    up = both.join(dist.select(F.col("node").alias("b"), F.col("distance").alias("d")), "b").join(dist.select(F.col("node").alias("a"), "distance"), "a")
+    up = up.where(F.abs(F.col("d") + F.col("length_m") - F.col("distance")) <= 1e-9 * (1 + F.col("distance"))).groupBy("a").agg(F.min("b").alias("parent"))
+    roots = ends.select(F.col("node"), F.lit(True).alias("end"))
+    return dist.join(up.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left").select("node", "distance", F.when(F.col("end").isNull(), F.col("parent")).alias("parent"))
 
 
 def accumulate(paths: DataFrame, amounts: DataFrame) -> DataFrame:

@@ -77,15 +77,17 @@ def disc_offsets(radius: float, res: float) -> list[tuple[int, int, float]]:
 
 
 def disc_mean(cells: DataFrame, layer: str, radius: float, res: float, name: str) -> DataFrame:
-    """Mean of a layer over the cells within a radius that exist (null counts as 0); the layer itself below one cell.
+    """Mean of a layer over all places within a radius (cells that are null or missing count as 0); the layer itself below
+    one cell.
 
     Each cell adds to its neighbours; partial sums are combined before the shuffle."""
     value = F.coalesce(F.col(layer).cast("double"), F.lit(0.0))
     if radius < res:
         return cells.withColumn(name, value)
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in disc_offsets(radius, res)])
+    disc = disc_offsets(radius, res)
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in disc])
     spread = cells.select("r", "c", value.alias("v"), F.explode(offsets).alias("o")).select((F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"), "v")
-    return cells.join(spread.groupBy("r", "c").agg(F.avg("v").alias(name)), ["r", "c"], "left").select(*cells.columns, name)
+    return cells.join(spread.groupBy("r", "c").agg((F.sum("v") / len(disc)).alias(name)), ["r", "c"], "left").select(*cells.columns, name)
 
 
 def pyramid(cells: DataFrame, layer: str, factor: int) -> DataFrame:
@@ -93,13 +95,20 @@ def pyramid(cells: DataFrame, layer: str, factor: int) -> DataFrame:
     return cells.groupBy(F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg(layer).alias(layer), F.count(layer).alias("cells"))
 
 
+def numbered(points: DataFrame) -> DataFrame:
+    """points with a number per row, written so that all branches of a plan see the same."""
+    from ..sources.scratch import written
+
+    return written(points.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+
+
 def sample(cells: DataFrame, points: DataFrame, layer: str, res: float, how: str = "nearest") -> DataFrame:
     """points (x, y, ...) with the layer's value there: of the cell they lie in, or bilinear between cell centres."""
     grid = cells.select("r", "c", F.col(layer).alias("__v"))
     if how == "nearest":
         at = points.withColumns({"r": F.floor(F.col("y") / res).cast("long"), "c": F.floor(F.col("x") / res).cast("long")})
         return at.join(grid, ["r", "c"], "left").withColumnRenamed("__v", layer).drop("r", "c")
-    p = points.withColumn("__id", F.monotonically_increasing_id())
+    p = numbered(points)
     fx, fy = F.col("x") / res - 0.5, F.col("y") / res - 0.5
     p = p.withColumns({"__c": F.floor(fx).cast("long"), "__r": F.floor(fy).cast("long"), "__u": fx - F.floor(fx), "__w": fy - F.floor(fy)})
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))

@@ -1,20 +1,25 @@
 """Ray sweeps: what a winch, a forwarder, a fire hose or a cable reaches in straight lines.
 
 A ray is an ordered list of cell offsets; it ends at the first cell that fails a test, and each target keeps its
-best ray. As a plan: sources x ray template (a fixed, broadcast table) meet the cells on their row and column,
-window functions along each ray carry running bounds, and one aggregate per target picks the best."""
+best ray. Sources are dealt to square tiles and cells to every tile within reach of theirs, so cells are shuffled
+once. A task holds one tile's window as arrays and takes each azimuth step by step for all sources whose ray is
+still alive; it gives its best ray per cell, and one aggregate picks the best of all tiles. Rays are cut where no
+cell is."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.config import Config
-from ..functions.scalars import percent_to_degrees, winch_law, winch_reach
+from ..functions.scalars import percent_to_degrees, winch_law
 
 RAYS = "az int, step int, dr int, dc int, hd double"
 
@@ -88,11 +93,86 @@ def alive(ok: Column) -> Column:
     return F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(so_far()) == 1
 
 
-def nearest(found: DataFrame, carry: list[str]) -> DataFrame:
-    """Per target the smallest start + d3; ties to the first azimuth, then step, then the largest source."""
-    key = F.struct((F.col("start") + F.col("d3")).alias("total"), "az", "step", (-F.col("src")).alias("back"))
-    best = found.groupBy("cell").agg(F.min(F.struct(key.alias("k"), "src", "d3", *carry)).alias("b"))
-    return best.select("cell", F.col("b.d3").alias("distance"), F.col("b.src").alias("alloc"), F.col("b.k.total").alias("total"), *[F.col(f"b.{x}").alias(x) for x in carry])
+#: The least side of a tile of sources, in cells.
+SPAN = 64
+SWEPT = "cell long, total double, az int, step int, src long, extra double"
+
+
+class Sweep:
+    """What a tile's rays do at each step. `begin` gives the state of a ray at its source, `go` whether it lives on at
+    a cell, the total to compare by, one more number to carry, and its new state; all are arrays over sources."""
+
+    def __init__(self, layers: list[str], begin: Callable, go: Callable, ties_to_smallest: bool = False, own: bool = False):
+        """On ties the smallest source stays, or else the first ray; with `own`, a source that reaches any cell reaches
+        itself at 0."""
+        self.layers, self.begin, self.go, self.ties_to_smallest, self.own = layers, begin, go, ties_to_smallest, own
+
+
+def sweep_window(sweep: Sweep, rays: list, window: dict[str, np.ndarray], src: dict[str, np.ndarray], size: int) -> pd.DataFrame:
+    """The best ray to each place of a window (flat arrays of `size` places). rays: (az, offsets, distances, steps)."""
+    total, az_of, step_of = np.full(size, math.inf), np.zeros(size, np.int32), np.zeros(size, np.int32)
+    from_, extra = np.zeros(size, np.int64), np.zeros(size)
+    for az, offsets, hds, steps in rays:
+        alive, state, before = np.arange(len(src["at"])), sweep.begin(src), 0.0
+        for offset, hd, step in zip(offsets, hds, steps, strict=True):
+            at = src["at"][alive] + offset
+            cell = {k: v[at] for k, v in window.items()}
+            ok, cost, more, state = sweep.go(az, hd, before, cell, {k: v[alive] for k, v in src.items()}, state)
+            ok &= cell["there"]
+            before = hd
+            if not ok.all():
+                alive, at, cost, more, state = alive[ok], at[ok], cost[ok], more[ok], [x[ok] for x in state]
+            if not len(alive):
+                break
+            if sweep.own and step == 1:
+                own = src["at"][alive]
+                total[own], az_of[own], step_of[own], from_[own], extra[own] = 0, 0, 0, src["src"][alive], 0
+            # azimuths and steps come in order, and one step has no target twice: on ties the first stays
+            better = cost < total[at]
+            if sweep.ties_to_smallest:
+                better |= (cost == total[at]) & (src["src"][alive] < from_[at])
+            at, own = at[better], alive[better]
+            total[at], az_of[at], step_of[at], from_[at], extra[at] = cost[better], az, step, src["src"][own], more[better]
+    hit = np.flatnonzero(total < math.inf)
+    return pd.DataFrame({"cell": window["cell"][hit], "total": total[hit], "az": az_of[hit], "step": step_of[hit], "src": from_[hit], "extra": extra[hit]})
+
+
+def swept(cells: DataFrame, sources: DataFrame, found: list[tuple[int, int, int, int, float]], sweep: Sweep, span: int = SPAN) -> DataFrame:
+    """SWEPT: the best ray of each tile to each cell."""
+    pad = max((max(abs(a), abs(b)) for _, _, a, b, _ in found), default=0)
+    span = max(span, 2 * pad)
+    wide = span + 2 * pad
+    rays = []
+    for az, some in groupby(sorted(found), key=lambda x: x[0]):
+        some = list(some)
+        rays.append((az, [a * wide + b for _, _, a, b, _ in some], [x[4] for x in some], [x[1] for x in some]))
+    layers = sweep.layers
+    tile = lambda x: F.floor(x / span).cast("int")
+    near = lambda x: F.explode(F.sequence(tile(F.col(x) - pad), tile(F.col(x) + pad)))
+    dealt = cells.select("cell", "r", "c", *[F.col(x).cast("double").alias(x) for x in layers]).withColumn("tr", near("r")).withColumn("tc", near("c"))
+    asked = sources.select(F.col("src").cast("long").alias("src"), "r0", "c0", F.col("z0").cast("double").alias("z0"), F.col("start").cast("double").alias("start"), tile(F.col("r0")).alias("tr"), tile(F.col("c0")).alias("tc"))
+    dealt = dealt.join(asked.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+
+    def run(key: tuple, here: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        place = lambda r, c: (r.to_numpy(np.int64) - key[0] * span + pad) * wide + c.to_numpy(np.int64) - key[1] * span + pad
+        at, size = place(here["r"], here["c"]), wide * wide
+        window = {"cell": np.zeros(size, np.int64), "there": np.zeros(size, bool)}
+        window["cell"][at], window["there"][at] = here["cell"], True
+        for x in layers:
+            window[x] = np.full(size, np.nan)
+            window[x][at] = here[x]
+        src = {x: ask[x].to_numpy() for x in ("src", "z0", "start")} | {"at": place(ask["r0"], ask["c0"])}
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return sweep_window(sweep, rays, window, src, size)
+
+    return asked.groupBy("tr", "tc").cogroup(dealt.groupBy("tr", "tc")).applyInPandas(lambda key, a, b: run(key, b, a), SWEPT)
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """Per target the smallest total; ties to the first azimuth, then step, then the largest source."""
+    key = F.struct("total", "az", "step", (-F.col("src")).alias("back"))
+    best = found.groupBy("cell").agg(F.min(F.struct(key.alias("k"), "src", "extra")).alias("b"))
+    return best.select("cell", F.col("b.extra").alias("distance"), F.col("b.src").alias("alloc"), F.col("b.k.total").alias("total"))
 
 
 def with_sources(found: DataFrame, sources: DataFrame) -> DataFrame:
@@ -107,13 +187,22 @@ def winch(cells: DataFrame, sources: DataFrame, config: Config, res: float = 5.0
     The chord, hung at the anchor's height, must clear the ground and stay below the clearance over every cell
     before the target; the 3D distance must be within the winch law's reach for the ray's slope."""
     law, s = winch_law(config), config.skidder
-    rays = template(cells.sparkSession, straight_rays(res, max(law.uphill_m, law.downhill_m), azimuths))
-    t = along_rays(cells, sources, rays, ["z", "winchable"])
-    dz = F.col("z") - F.col("z0")
-    t = t.withColumns({"slope": dz / F.col("hd"), "d3": F.sqrt(F.col("hd") * F.col("hd") + dz * dz), "low": (dz - s.winch_anchor_m) / F.col("hd"), "high": (dz - s.winch_anchor_m + s.clearance_max_m) / F.col("hd")})
-    t = t.withColumns({"lo": F.coalesce(F.max("low").over(before()), F.lit(-math.inf)), "hi": F.coalesce(F.min("high").over(before()), F.lit(math.inf))})
-    ok = F.col("winchable") & F.col("slope").between(F.col("lo"), F.col("hi")) & ((F.col("d3") <= law.always_m) | (F.col("d3") <= winch_reach(F.col("slope"), law)))
-    return with_sources(nearest(t.withColumn("live", alive(ok)).where("live"), []), sources)
+
+    def begin(src: dict) -> list[np.ndarray]:
+        n = len(src["src"])
+        return [np.full(n, -math.inf), np.full(n, math.inf)]
+
+    def go(az: int, hd: float, before: float, cell: dict, src: dict, state: list) -> tuple:
+        low, high = state
+        dz = cell["z"] - src["z0"]
+        slope, d3 = dz / hd, np.sqrt(hd * hd + dz * dz)
+        between = law.base / (1 - law.coeff * slope / np.sqrt(1 + slope**2))
+        most = np.where(slope <= law.down, law.downhill_m, np.where(slope > law.up, law.uphill_m, between))
+        ok = (cell["winchable"] == 1) & (slope >= low) & (slope <= high) & ((d3 <= law.always_m) | (d3 <= most))
+        return ok, src["start"] + d3, d3, [np.fmax(low, (dz - s.winch_anchor_m) / hd), np.fmin(high, (dz - s.winch_anchor_m + s.clearance_max_m) / hd)]
+
+    found = straight_rays(res, max(law.uphill_m, law.downhill_m), azimuths)
+    return with_sources(nearest(swept(cells, sources, found, Sweep(["z", "winchable"], begin, go))), sources)
 
 
 def forward(cells: DataFrame, sources: DataFrame, config: Config, res: float = 5.0, azimuths: list[int] | None = None) -> DataFrame:
@@ -123,21 +212,24 @@ def forward(cells: DataFrame, sources: DataFrame, config: Config, res: float = 5
     slope limit depends on the angle to the fall line; distance on ground steeper than the cross limit adds up."""
     f = config.forwarder
     up, down, across = (math.degrees(math.atan(p / 100)) for p in (f.up_slope_max_pct, f.down_slope_max_pct, f.cross_slope_max_pct))
-    rays = template(cells.sparkSession, straight_rays(res, f.steep_max_m, azimuths))
-    t = along_rays(cells, sources, rays, ["z", "slope_pct", "aspect_deg", "drivable"])
-    dz = F.col("z") - F.col("z0")
-    t = t.withColumns({"d3": F.sqrt(F.col("hd") * F.col("hd") + dz * dz), "deg": percent_to_degrees(F.col("slope_pct"))})
-    turn = F.pmod(F.col("az") - F.col("aspect_deg"), F.lit(180.0))
-    cos = F.cos((90 - turn) / 180 * math.pi)
-    side = F.col("aspect_deg").isNull() | (cos == 0) | (F.col("deg") <= F.abs(F.lit(across) / cos))
-    walked = F.when(F.col("deg") > across, F.col("d3") - F.coalesce(F.lag("d3").over(ray()), F.lit(0.0))).otherwise(0.0)
-    t = t.withColumn("walked", walked).withColumn("steep", F.sum("walked").over(so_far()))
-    ok = F.col("drivable") & (F.col("deg") <= F.when(F.col("z") > F.col("z0"), F.lit(down)).otherwise(F.lit(up))) & side & (F.col("steep") <= f.steep_max_m)
-    return with_sources(nearest(t.withColumn("live", alive(ok)).where("live"), []), sources)
+    half = math.pi / 180
 
+    def begin(src: dict) -> list[np.ndarray]:
+        return [np.zeros(len(src["src"])), np.zeros(len(src["src"]))]
 
-def away_from_zero(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x - 0.5)).otherwise(F.floor(x + 0.5)).cast("double")
+    def go(az: int, hd: float, before: float, cell: dict, src: dict, state: list) -> tuple:
+        last, steep = state
+        dz = cell["z"] - src["z0"]
+        d3, deg, aspect = np.sqrt(hd * hd + dz * dz), cell["deg"], cell["aspect_deg"]
+        cos = np.cos((90 - (az - aspect) % 180.0) * half)
+        side = np.isnan(aspect) | (cos == 0) | (deg <= np.abs(across / cos))
+        steep = steep + np.where(deg > across, d3 - last, 0.0)
+        ok = (cell["drivable"] == 1) & (deg <= np.where(cell["z"] > src["z0"], down, up)) & side & (steep <= f.steep_max_m)
+        return ok, src["start"] + d3, d3, [d3, steep]
+
+    found = straight_rays(res, f.steep_max_m, azimuths)
+    ready = cells.withColumn("deg", percent_to_degrees(F.col("slope_pct")))
+    return with_sources(nearest(swept(ready, sources, found, Sweep(["z", "deg", "aspect_deg", "drivable"], begin, go))), sources)
 
 
 def hose(cells: DataFrame, sources: DataFrame, reach: float, res: float = 5.0, azimuths: list[int] | None = None) -> DataFrame:
@@ -145,17 +237,21 @@ def hose(cells: DataFrame, sources: DataFrame, reach: float, res: float = 5.0, a
 
     Lengths are whole centimetres, so ties are true ties: the smallest source, then azimuth, wins. Distances are
     whole metres and only forest cells have them; a source that reaches any cell reaches itself at 0."""
-    rays = template(cells.sparkSession, connected_rays(res, reach, azimuths))
-    t = along_rays(cells, sources.where("z0 is not null"), rays, ["z", "usable", "forest"])
-    dz = F.col("z") - F.coalesce(F.lag("z").over(ray()), F.col("z0"))
-    dh = F.col("hd") - F.coalesce(F.lag("hd").over(ray()), F.lit(0.0))
-    t = t.withColumn("piece", F.sqrt(dz * dz + dh * dh)).withColumn("laid", F.sum("piece").over(so_far()))
-    t = t.withColumn("live", alive(F.col("usable") & (F.col("laid") <= reach))).where("live")
-    t = t.withColumns({"cm": F.floor(F.col("laid") * 100 + 0.5), "rise": away_from_zero(F.col("z") - F.col("z0"))})
-    best = t.groupBy("cell").agg(F.min(F.struct("cm", "src", "az", "step", "rise")).alias("b"))
-    own = t.select(F.col("src").alias("cell")).distinct().select("cell", F.struct(F.lit(0).cast("long").alias("cm"), F.col("cell").alias("src"), F.lit(0).alias("az"), F.lit(0).alias("step"), F.lit(0.0).alias("rise")).alias("b"))
-    both = best.join(own.select("cell"), "cell", "left_anti").unionByName(own).join(cells.select("cell", "forest"), "cell").where(F.coalesce("forest", F.lit(False)))
-    return both.select("cell", F.floor(F.col("b.cm") / 100 + 0.5).cast("double").alias("distance"), F.col("b.src").alias("alloc"), F.col("b.rise").alias("rise"))
+
+    def begin(src: dict) -> list[np.ndarray]:
+        return [src["z0"], np.zeros(len(src["src"]))]
+
+    def go(az: int, hd: float, before: float, cell: dict, src: dict, state: list) -> tuple:
+        z, laid = state
+        laid = laid + np.sqrt((cell["z"] - z) ** 2 + (hd - before) ** 2)
+        rise = cell["z"] - src["z0"]
+        rise = np.where(rise < 0, np.ceil(rise - 0.5), np.floor(rise + 0.5))
+        return (cell["usable"] == 1) & (laid <= reach), np.floor(laid * 100 + 0.5), rise, [cell["z"], laid]
+
+    found = swept(cells, sources.where("z0 is not null"), connected_rays(res, reach, azimuths), Sweep(["z", "usable"], begin, go, ties_to_smallest=True, own=True))
+    best = found.groupBy("cell").agg(F.min(F.struct(F.col("total").alias("cm"), "src", "az", "step", F.col("extra").alias("rise"))).alias("b"))
+    wooded = cells.where(F.coalesce("forest", F.lit(False))).select("cell")
+    return best.join(wooded, "cell", "left_semi").select("cell", F.floor(F.col("b.cm") / 100 + 0.5).cast("double").alias("distance"), F.col("b.src").alias("alloc"), F.col("b.rise").alias("rise"))
 
 
 def check_lines(profile: DataFrame, config: Config) -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.scratch import written
 
 
 def segments(lines: DataFrame, vertices: str = "vertices") -> DataFrame:
@@ -26,16 +27,30 @@ def line_length(v: Column) -> Column:
 
 
 def point_at(lines: DataFrame, at: Column, vertices: str = "vertices") -> DataFrame:
-    """lines plus (x, y) at a distance along each line, clamped to its ends: an as-of match on the running length."""
-    keyed = lines.withColumn("__id", F.monotonically_increasing_id()).withColumn("__d", F.least(F.greatest(at, F.lit(0.0)), line_length(F.col(vertices))))
-    s = segments(keyed, vertices)
-    w = Window.partitionBy("__id").orderBy("k")
-    s = s.withColumn("start_m", F.coalesce(F.sum("length_m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    hit = s.where(F.col("start_m") <= F.col("__d"))
-    t = F.when(F.col("length_m") > 0, F.least((F.col("__d") - F.col("start_m")) / F.col("length_m"), F.lit(1.0))).otherwise(0.0)
-    xy = F.struct((F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
-    best = hit.groupBy("__id").agg(F.max_by(xy, "k").alias("__p"))
-    return keyed.join(best, "__id").select(*lines.columns, F.col("__p.x").alias("x"), F.col("__p.y").alias("y"))
+    """lines plus (x, y) at a distance along each line, clamped to its ends; lines of one point are left out.
+
+    One pass over each line's vertices: the last segment that starts within the distance holds the point."""
+    v = F.col(vertices)
+    d = F.least(F.greatest(at, F.lit(0.0)), line_length(v))
+    pairs = F.arrays_zip(F.slice(v, F.lit(1), F.size(v) - 1).alias("p"), F.slice(v, F.lit(2), F.size(v) - 1).alias("q"))
+
+    def walk(state: Column, s: Column) -> Column:
+        dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+        length = F.sqrt(F.pow(dx, 2) + F.pow(dy, 2))
+        t = F.when(length > 0, F.least((F.col("__d") - state["m"]) / length, F.lit(1.0))).otherwise(0.0)
+        here = state["m"] <= F.col("__d")
+        place = [F.when(here, s["p"][k] + t * step).otherwise(state[k]).alias(k) for k, step in (("x", dx), ("y", dy))]
+        return F.struct((state["m"] + length).alias("m"), *place)
+
+    none = F.lit(None).cast("double")
+    found = F.aggregate(pairs, F.struct(F.lit(0.0).alias("m"), none.alias("x"), none.alias("y")), walk)
+    long_enough = lines.where(F.size(v) >= 2).withColumn("__d", d).withColumn("__p", found)
+    return long_enough.select(*lines.columns, F.col("__p.x").alias("x"), F.col("__p.y").alias("y"))
+
+
+def numbered(df: DataFrame, name: str = "__id") -> DataFrame:
+    """df with a number per row. It is written, as numbers that two branches of a plan make anew may differ."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def crosses_box(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, bottom: Column, size: float) -> Column:
@@ -121,7 +136,7 @@ def spread_buckets(df: DataFrame, x_low: Column, x_high: Column, y_low: Column,
 
 def within(points: DataFrame, segs: DataFrame, distance: float) -> DataFrame:
     """points (x, y, ...) that lie within a distance of any segment."""
-    p = points.withColumn("__id", F.monotonically_increasing_id())
+    p = numbered(points)
     a = p.withColumns({"__bx": F.floor(F.col("x") / distance).cast("long"), "__by": F.floor(F.col("y") / distance).cast("long")})
     low, high = lambda u, v: F.least(F.col(u), F.col(v)) - distance, lambda u, v: F.greatest(F.col(u), F.col(v)) + distance
     b = spread_buckets(segs.select("x0", "y0", "x1", "y1"), low("x0", "x1"), high("x0", "x1"), low("y0", "y1"), high("y0", "y1"), distance)
@@ -131,7 +146,7 @@ def within(points: DataFrame, segs: DataFrame, distance: float) -> DataFrame:
 
 def nearest_within(points: DataFrame, targets: DataFrame, distance: float, key: str = "node") -> DataFrame:
     """points (x, y, ...) plus the key of the nearest target (key, tx, ty) within a distance, ties to the smaller key."""
-    p = points.withColumn("__id", F.monotonically_increasing_id())
+    p = numbered(points)
     a = spread_buckets(p, F.col("x") - distance, F.col("x") + distance, F.col("y") - distance, F.col("y") + distance, distance)
     b = targets.withColumns({"__bx": F.floor(F.col("tx") / distance).cast("long"), "__by": F.floor(F.col("ty") / distance).cast("long")})
     d2 = F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)
@@ -141,8 +156,6 @@ def nearest_within(points: DataFrame, targets: DataFrame, distance: float, key:
 
 def nearest_any(points: DataFrame, targets: DataFrame, first: float, key: str = "node") -> DataFrame:
     """nearest_within with a radius that doubles for the points still without a target, until all have one."""
-    from ..sources.scratch import written
-
     if not targets.limit(1).count():
         return points.withColumns({key: F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
     done, left, radius = None, points, first
@@ -208,7 +221,8 @@ def points_along(lines: DataFrame, spacing: float, vertices: str = "vertices") -
 
 def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices: str = "vertices") -> DataFrame:
     """lines that come within a distance of any of the others, or cross one."""
-    a = segments(lines.withColumn("__id", F.monotonically_increasing_id()), vertices).select("__id", "x0", "y0", "x1", "y1")
+    own = numbered(lines)
+    a = segments(own, vertices).select("__id", "x0", "y0", "x1", "y1")
     b = segments(others, vertices).select(*[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
     side = 4 * distance
     low, high = lambda u, v, d: F.least(F.col(u), F.col(v)) - d, lambda u, v, d: F.greatest(F.col(u), F.col(v)) + d
@@ -220,10 +234,10 @@ def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices:
         return (c[bx] - c[ax]) * (c[py] - c[ay]) - (c[by] - c[ay]) * (c[px] - c[ax])
 
     crosses = (turns("x0", "y0", "x1", "y1", "ox0", "oy0") * turns("x0", "y0", "x1", "y1", "ox1", "oy1") < 0) & (turns("ox0", "oy0", "ox1", "oy1", "x0", "y0") * turns("ox0", "oy0", "ox1", "oy1", "x1", "y1") < 0)
-    own, other = [c[k] for k in ("x0", "y0", "x1", "y1")], [c[k] for k in ("ox0", "oy0", "ox1", "oy1")]
-    gap = F.least(point_segment(c["x0"], c["y0"], *other), point_segment(c["x1"], c["y1"], *other), point_segment(c["ox0"], c["oy0"], *own), point_segment(c["ox1"], c["oy1"], *own))
+    mine, other = [c[k] for k in ("x0", "y0", "x1", "y1")], [c[k] for k in ("ox0", "oy0", "ox1", "oy1")]
+    gap = F.least(point_segment(c["x0"], c["y0"], *other), point_segment(c["x1"], c["y1"], *other), point_segment(c["ox0"], c["oy0"], *mine), point_segment(c["ox1"], c["oy1"], *mine))
     hit = p.join(q, ["__bx", "__by"]).where(crosses | (gap <= distance)).select("__id").distinct()
-    return lines.withColumn("__id", F.monotonically_increasing_id()).join(hit, "__id", "left_semi").drop("__id")
+    return own.join(hit, "__id", "left_semi").drop("__id")
 
 
 def flag_fire(tracks: DataFrame, fire_lines: DataFrame | None, turning: DataFrame | None, match_m: float = 10, width_min: float = 10, turning_m: float = 20) -> DataFrame:

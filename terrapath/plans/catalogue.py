@@ -85,7 +85,7 @@ def inner_contour(spark, d):
     return neighbours.inner_contour(grid(spark, d), "forest").select("cell", "contour")
 
 
-@query("circular_fraction", f"WITH {SQL_GRID} SELECT a.cell, round(avg(CAST(b.forest AS DOUBLE)), 6) AS share FROM g a JOIN g b ON b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9 GROUP BY a.cell")
+@query("circular_fraction", f"WITH {SQL_GRID} SELECT a.cell, round(sum(CAST(b.forest AS DOUBLE)) / 29, 6) AS share FROM g a JOIN g b ON b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9 GROUP BY a.cell")
 def circular_fraction(spark, d):
     return neighbours.disc_mean(grid(spark, d).withColumn("f", F.col("forest").cast("double")), "f", 15, RES, "share").select("cell", r6("share", "share"))
 
@@ -402,12 +402,12 @@ def components_seeded(spark, d):
 
 
 @query("trace_path", f"""{dijkstra_sql(COST_M)}, e AS (SELECT arc.v AS cell, min(arc.u) AS pred FROM arc JOIN d a ON a.cell = arc.u JOIN d b ON b.cell = arc.v WHERE a.cost + arc.w = b.cost AND a.alloc = b.alloc AND b.cost > 0 GROUP BY arc.v),
-t(target, hop, cell) AS (SELECT cell, 0, cell FROM d WHERE cell % 97 = 3 UNION ALL SELECT target, hop + 1, pred FROM t JOIN e USING (cell)) SELECT target, CAST(hop AS BIGINT) AS hop, cell FROM t""")
+t(target, hop, cell) AS (SELECT cell, 0, cell FROM d UNION ALL SELECT target, hop + 1, pred FROM t JOIN e USING (cell)) SELECT target, CAST(hop AS BIGINT) AS hop, cell FROM t""")
 def trace_path(spark, d):
     from ..sources.scratch import written
 
     labels = written(cost_model(spark, d), "labels")
-    return propagation.trace(labels, labels.where("cell % 97 = 3"))
+    return propagation.trace(labels, labels)
 
 
 ZONE_ONE = "size % 3 <> 0"
@@ -444,13 +444,27 @@ def border_certificate(spark, d):
     return propagation.certificate(p, labels, algebra.drive_cost(CONFIG), zone, border, res=RES)
 
 
-# ray sweeps: eight directions, as SQL has no way to draw the other rays
+# ray sweeps, in all 360 directions; the statements draw the rays by their own rules
 
-EIGHT_AZ = [0, 45, 90, 135, 180, 225, 270, 315]
 
+def straight_sql(reach: float) -> str:
+    """Places every third of a cell along each azimuth, rounded half to even, each once in a row."""
+    limit = reach + 1.5 * RES
+    return f"""k0 AS (SELECT az, k, k * ({RES!r}e0 / 3) AS t FROM range(0, 360) a(az), range(1, {int(limit / RES * 3) + 3}) b(k)),
+k1 AS (SELECT az, k, CAST(round_even(-t * cos(radians(az)) / {RES!r}e0, 0) AS BIGINT) AS dr, CAST(round_even(t * sin(radians(az)) / {RES!r}e0, 0) AS BIGINT) AS dc FROM k0 WHERE t <= {limit!r}e0 + 1e-9),
+k2 AS (SELECT *, coalesce(lag(dr) OVER w, 0) AS br, coalesce(lag(dc) OVER w, 0) AS bc, {RES!r}e0 * sqrt(dr * dr + dc * dc) AS hd FROM k1 WINDOW w AS (PARTITION BY az ORDER BY k)),
+ray AS (SELECT az, row_number() OVER (PARTITION BY az ORDER BY k) AS step, dr, dc, hd FROM k2 WHERE (dr <> br OR dc <> bc) AND hd <= {limit!r}e0)"""
 
-def rays_sql(found: list) -> str:
-    return "ray(az, step, dr, dc, hd) AS (VALUES " + ", ".join(f"({a}, {s}, {r}, {c}, {h!r}e0)" for a, s, r, c, h in found) + ")"
+
+def connected_sql(reach: float) -> str:
+    """Every cell that an azimuth's line crosses: the nearer border first, on a corner the row."""
+    limit = reach + 1.5 * RES
+    return f"""k0 AS (SELECT az, sin(radians(az)) AS x, -cos(radians(az)) AS y FROM range(0, 360) a(az)),
+k1 AS (SELECT *, CASE WHEN x = 0 THEN CAST('inf' AS DOUBLE) ELSE 1 / abs(x) END AS pc, CASE WHEN y = 0 THEN CAST('inf' AS DOUBLE) ELSE 1 / abs(y) END AS pr FROM k0),
+k2(az, step, dr, dc, nr, nc) AS (SELECT az, 0, 0, 0, 0.5e0 * pr, 0.5e0 * pc FROM k1 UNION ALL
+SELECT k2.az, step + 1, CASE WHEN nc < nr THEN dr ELSE dr + CASE WHEN y > 0 THEN 1 ELSE -1 END END, CASE WHEN nc < nr THEN dc + CASE WHEN x > 0 THEN 1 ELSE -1 END ELSE dc END, CASE WHEN nc < nr THEN nr ELSE nr + pr END, CASE WHEN nc < nr THEN nc + pc ELSE nc END
+FROM k2 JOIN k1 USING (az) WHERE {RES!r}e0 * sqrt(dr * dr + dc * dc) <= {limit!r}e0),
+ray AS MATERIALIZED (SELECT az, step, dr, dc, {RES!r}e0 * sqrt(dr * dr + dc * dc) AS hd FROM k2 WHERE step > 0 AND {RES!r}e0 * sqrt(dr * dr + dc * dc) <= {limit!r}e0)"""
 
 
 MET = "t0 AS (SELECT q.src, q.z0, az, step, hd, g2.* FROM q, ray JOIN p g2 ON g2.r = q.r0 + dr AND g2.c = q.c0 + dc)"
@@ -467,17 +481,17 @@ def best_sql(live: str) -> str:
     return f"b AS (SELECT cell, min({{'t': d3, 'az': az, 'step': step, 'back': -src}}) AS k FROM {live} GROUP BY cell), f AS (SELECT cell, k.t AS distance, -k.back AS alloc FROM b WHERE cell NOT IN (SELECT src FROM q) UNION ALL SELECT src, 0e0, src FROM q) SELECT cell, round(distance, 6) AS distance, alloc FROM f"
 
 
-@query("winch_sweep", f"""WITH {SQL_PREPARED}, {SRC}, {rays_sql(rays.straight_rays(RES, 100, EIGHT_AZ))}, {MET},
+@query("winch_sweep", f"""WITH {SQL_PREPARED}, {SRC}, {straight_sql(100)}, {MET},
 t1 AS (SELECT *, z - z0 AS dz, (z - z0) / hd AS s, sqrt(hd * hd + (z - z0) * (z - z0)) AS d3 FROM t0), t2 AS (SELECT *, coalesce(max((dz - 10) / hd) {W_BEFORE}, CAST('-inf' AS DOUBLE)) AS lo, coalesce(min((dz - 10 + 30) / hd) {W_BEFORE}, CAST('inf' AS DOUBLE)) AS hi FROM t1),
 t3 AS (SELECT *, min(CAST({WINCH} AND s BETWEEN lo AND hi AND (d3 <= 50 OR d3 <= CASE WHEN s <= {LAW.down}e0 THEN 100e0 WHEN s > {LAW.up}e0 THEN 50e0 ELSE {LAW.base!r}e0 / (1 - {LAW.coeff!r}e0 * s / sqrt(1 + pow(s, 2))) END) AS INT)) {W_ALL} AS live FROM t2),
 t4 AS (SELECT * FROM t3 WHERE live = 1), {best_sql('t4')}""")
 def winch_sweep(spark, d):
     p = prepared(spark, d)
     cells = p.withColumn("winchable", algebra.winch_zone(CONFIG))
-    return rays.winch(cells, sources(p), CONFIG, RES, EIGHT_AZ).select("cell", r6("distance", "distance"), "alloc")
+    return rays.winch(cells, sources(p), CONFIG, RES).select("cell", r6("distance", "distance"), "alloc")
 
 
-@query("forwarder_sweep", f"""WITH {SQL_PREPARED}, {SRC}, {rays_sql(rays.straight_rays(RES, 300, EIGHT_AZ))}, {MET},
+@query("forwarder_sweep", f"""WITH {SQL_PREPARED}, {SRC}, {straight_sql(300)}, {MET},
 t1 AS (SELECT *, sqrt(hd * hd + (z - z0) * (z - z0)) AS d3, degrees(atan(slope_pct / 100)) AS deg, degrees(atan(0.15e0)) AS lat FROM t0), t2 AS (SELECT *, CASE WHEN deg > lat THEN d3 - coalesce(lag(d3) OVER (PARTITION BY src, az ORDER BY step), 0) ELSE 0 END AS walked,
 cos((90 - (((az - aspect_deg) % 180e0) + 180e0) % 180e0) / 180 * 3.141592653589793e0) AS ct FROM t1), t3 AS (SELECT *, sum(walked) {W_ALL} AS steep FROM t2),
 t4 AS (SELECT *, min(CAST(coalesce(forest AND NOT obstacle AND NOT public AND deg <= CASE WHEN z > z0 THEN degrees(atan(0.25e0)) ELSE degrees(atan(0.3e0)) END AND (aspect_deg IS NULL OR ct = 0 OR deg <= abs(lat / ct)) AND steep <= 300, false) AS INT)) {W_ALL} AS live FROM t3),
@@ -485,16 +499,16 @@ t5 AS (SELECT * FROM t4 WHERE live = 1), {best_sql('t5')}""")
 def forwarder_sweep(spark, d):
     p = prepared(spark, d)
     cells = p.withColumn("drivable", F.col("forest") & ~F.col("obstacle") & ~F.col("public"))
-    return rays.forward(cells, sources(p), CONFIG, RES, EIGHT_AZ).select("cell", r6("distance", "distance"), "alloc")
+    return rays.forward(cells, sources(p), CONFIG, RES).select("cell", r6("distance", "distance"), "alloc")
 
 
-@query("hose_sweep", f"""WITH {SQL_PREPARED}, {SRC}, {rays_sql(rays.connected_rays(RES, 120, EIGHT_AZ))}, {MET},
+@query("hose_sweep", f"""WITH RECURSIVE {SQL_PREPARED}, {SRC}, {connected_sql(440)}, {MET},
 t1 AS (SELECT *, sqrt(pow(z - coalesce(lag(z) OVER o, z0), 2) + pow(hd - coalesce(lag(hd) OVER o, 0), 2)) AS piece FROM t0 WINDOW o AS (PARTITION BY src, az ORDER BY step)), t2 AS (SELECT *, sum(piece) {W_ALL} AS laid FROM t1),
-t3 AS (SELECT *, min(CAST(NOT obstacle AND coalesce(slope_pct <= 110, false) AND laid <= 120 AS INT)) {W_ALL} AS live FROM t2), t4 AS (SELECT *, CAST(floor(laid * 100 + 0.5e0) AS BIGINT) AS cm, CASE WHEN z < z0 THEN ceil(z - z0 - 0.5e0) ELSE floor(z - z0 + 0.5e0) END AS rise FROM t3 WHERE live = 1),
+t3 AS (SELECT *, min(CAST(NOT obstacle AND coalesce(slope_pct <= 110, false) AND laid <= 440 AS INT)) {W_ALL} AS live FROM t2), t4 AS (SELECT *, CAST(floor(laid * 100 + 0.5e0) AS BIGINT) AS cm, CASE WHEN z < z0 THEN ceil(z - z0 - 0.5e0) ELSE floor(z - z0 + 0.5e0) END AS rise FROM t3 WHERE live = 1),
 b AS (SELECT cell, min({{'cm': cm, 'src': src, 'az': az, 'step': step, 'rise': rise}}) AS k FROM t4 GROUP BY cell), own AS (SELECT DISTINCT src AS cell FROM t4),
 f AS (SELECT cell, k.cm AS cm, k.src AS alloc, k.rise AS rise FROM b WHERE cell NOT IN (SELECT cell FROM own) UNION ALL SELECT cell, 0, cell, 0e0 FROM own)
 SELECT cell, floor(cm / 100 + 0.5e0) AS distance, alloc, rise + 0e0 AS rise FROM f JOIN p USING (cell) WHERE forest""")
 def hose_sweep(spark, d):
     p = prepared(spark, d)
     cells = p.withColumn("usable", ~F.col("obstacle") & F.coalesce(F.col("slope_pct") <= CONFIG.fire.slope_max_pct, F.lit(False)))
-    return rays.hose(cells, sources(p), 120, RES, EIGHT_AZ).select("cell", "distance", "alloc", (F.col("rise") + 0.0).alias("rise"))
+    return rays.hose(cells, sources(p), CONFIG.fire.reach_m, RES).select("cell", "distance", "alloc", (F.col("rise") + 0.0).alias("rise"))

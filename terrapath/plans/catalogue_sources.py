@@ -72,10 +72,9 @@ def union_columns(spark, d):
     return features.unify([a, b], common_only=False).select("id", "a", "b")
 
 
-@query("label_fold", "SELECT doc_id, lower(translate(left(text, 60), 'àâäéèêëîïôöùûüç', 'aaaeeeeiioouuuc')) AS label FROM (SELECT doc_id, regexp_replace(text, '[^a-zà-ÿ ]', '', 'g') AS text FROM documents)")
+@query("label_fold", "SELECT doc_id, translate(lower(text), 'àâäéèêëîïôöùûüç', 'aaaeeeeiioouuuc') AS label FROM documents")
 def label_fold(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^a-zà-ÿ ]", "").alias("t"))
-    return t.select("doc_id", features.plain(F.substring("t", 1, 60)).alias("label"))
+    return table(spark, d, "documents").select("doc_id", features.plain(F.col("text")).alias("label"))
 
 
 @query("obstacle_filter", "SELECT p_partkey FROM part WHERE NOT (p_size % 4 = 0) AND NOT (p_brand LIKE '%3') AND p_size - 10 >= 0")

@@ -25,17 +25,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# tracks: the places of each user's first events, in order of time; x follows the event type and value, y the user
+# tracks: the places of each user's events, in order of time; x follows the event type and value, y the user
 
-TRACK_SQL = """v0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), v AS (SELECT user_id AS id, k, (event_id * 37 % 240) + 2.5e0 AS x, (user_id % 20) * 10 + (event_id * 11 % 17) * 1e0 + 0.25e0 AS y FROM v0 WHERE k <= 6)"""
+TRACK_SQL = """v0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), v AS (SELECT user_id AS id, k, (event_id * 37 % 240) + 2.5e0 AS x, (user_id % 20) * 10 + (event_id * 11 % 17) * 1e0 + 0.25e0 AS y FROM v0)"""
 SEG_SQL = f"{TRACK_SQL}, seg AS (SELECT id, k, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY id ORDER BY k)), sg AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS len FROM seg WHERE x1 IS NOT NULL)"
 
 
-def tracks(spark, d, most: int | None = 6) -> DataFrame:
-    """With most=None all events of a user; the DuckDB statements take six."""
+def tracks(spark, d) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "ts", "event_id")
     e = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    e = e if most is None else e.where(F.col("k") <= most)
     e = e.select(F.col("user_id").alias("id"), "k", (F.col("event_id") * 37 % 240 + F.lit(2.5)).alias("x"), (F.col("user_id") % 20 * 10 + F.col("event_id") * 11 % 17 * F.lit(1.0) + F.lit(0.25)).alias("y"))
     v = e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
     return v.select("id", F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("vertices"))
@@ -98,23 +96,23 @@ SEG_D = "sqrt(pow(px - (x0 + t * (x1 - x0)), 2) + pow(py - (y0 + t * (y1 - y0)),
 SEG_T = "CASE WHEN len > 0 THEN least(greatest(((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (len * len), 0e0), 1e0) ELSE 0e0 END AS t"
 
 
-@query("within_distance_semi", f"WITH {SEG_SQL}, {POINTS_SQL}, few AS (SELECT * FROM sg WHERE id % 10 = 0), n AS (SELECT event_id, px, py, x0, y0, x1, y1, {SEG_T} FROM (SELECT event_id, x AS px, y AS py FROM pt), few) SELECT DISTINCT event_id FROM n WHERE {SEG_D} <= 6")
+@query("within_distance_semi", f"WITH {SEG_SQL}, {POINTS_SQL}, n AS (SELECT event_id, px, py, x0, y0, x1, y1, {SEG_T} FROM (SELECT event_id, x AS px, y AS py FROM pt) JOIN sg ON px BETWEEN least(x0, x1) - 6 AND greatest(x0, x1) + 6 AND py BETWEEN least(y0, y1) - 6 AND greatest(y0, y1) + 6) SELECT DISTINCT event_id FROM n WHERE {SEG_D} <= 6")
 def within_distance_semi(spark, d):
-    return vector.within(points(spark, d), vector.segments(tracks(spark, d).where("id % 10 = 0")), 6).select("event_id")
+    return vector.within(points(spark, d), vector.segments(tracks(spark, d)), 6).select("event_id")
 
 
-NODES_SQL = "nd AS (SELECT c_custkey AS node, (c_custkey * 29 % 251) * 1.1e0 AS tx, (c_custkey * 17 % 23) * 1.3e0 AS ty FROM customer WHERE c_custkey % 5 = 0)"
+NODES_SQL = "nd AS (SELECT c_custkey AS node, (c_custkey * 29 % 251) * 1.1e0 AS tx, (c_custkey * 17 % 23) * 1.3e0 AS ty FROM customer)"
 
 
-@query("nearest_node", f"WITH {POINTS_SQL}, {NODES_SQL}, x AS (SELECT event_id, node, pow(x - tx, 2) + pow(y - ty, 2) AS d2 FROM pt, nd WHERE event_id % 3 = 0), m AS (SELECT event_id, min({{'d': d2, 'n': node}}) AS k FROM x GROUP BY event_id) SELECT event_id, k.n AS node, round(sqrt(k.d), 6) AS distance FROM m")
+@query("nearest_node", f"WITH {POINTS_SQL}, {NODES_SQL}, x AS (SELECT event_id, node, pow(x - tx, 2) + pow(y - ty, 2) AS d2 FROM pt, nd), m AS (SELECT event_id, min({{'d': d2, 'n': node}}) AS k FROM x GROUP BY event_id) SELECT event_id, k.n AS node, round(sqrt(k.d), 6) AS distance FROM m")
 def nearest_node(spark, d):
-    nodes = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") * 29 % 251 * F.lit(1.1)).alias("tx"), (F.col("c_custkey") * 17 % 23 * F.lit(1.3)).alias("ty"))
-    return vector.nearest_any(points(spark, d).where("event_id % 3 = 0"), nodes, 8.0).select("event_id", "node", r6("distance", "distance"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") * 29 % 251 * F.lit(1.1)).alias("tx"), (F.col("c_custkey") * 17 % 23 * F.lit(1.3)).alias("ty"))
+    return vector.nearest_any(points(spark, d), nodes, 8.0).select("event_id", "node", r6("distance", "distance"))
 
 
 @query("nearest_within", f"WITH {POINTS_SQL}, {NODES_SQL}, x AS (SELECT event_id, node, pow(x - tx, 2) + pow(y - ty, 2) AS d2 FROM pt, nd), m AS (SELECT event_id, min({{'d': d2, 'n': node}}) AS k FROM x WHERE d2 <= 9 GROUP BY event_id) SELECT event_id, k.n AS node FROM pt LEFT JOIN m USING (event_id)")
 def nearest_within(spark, d):
-    nodes = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") * 29 % 251 * F.lit(1.1)).alias("tx"), (F.col("c_custkey") * 17 % 23 * F.lit(1.3)).alias("ty"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") * 29 % 251 * F.lit(1.1)).alias("tx"), (F.col("c_custkey") * 17 % 23 * F.lit(1.3)).alias("ty"))
     return vector.nearest_within(points(spark, d), nodes, 3).select("event_id", "node")
 
 
@@ -137,13 +135,14 @@ def corridor_outside(spark, d):
     return out.select("class", F.round("length_m", 4).alias("length_m"), F.round("outside_m", 4).alias("outside_m"))
 
 
-# graphs
+# graphs: an edge per order, from its own node to another of the same 400 nodes
 
-EDGE_SQL = "e AS (SELECT DISTINCT least(o_orderkey % 400, o_custkey % 400) AS a, greatest(o_orderkey % 400, o_custkey % 400) AS b FROM orders WHERE o_orderkey % 400 <> o_custkey % 400 AND o_orderkey % 37 = 0), ed AS (SELECT a, b, 1e0 + (a * 7 + b * 3) % 50 AS length_m FROM e)"
+EDGE_SQL = "e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT o_orderkey AS a, o_orderkey // 400 * 400 + (o_orderkey * 7 + o_custkey) % 400 AS b FROM orders) WHERE a <> b), ed AS (SELECT a, b, 1e0 + (a * 7 + b * 3) % 50 AS length_m FROM e)"
 
 
 def edges(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey % 37 = 0").select((F.col("o_orderkey") % 400).alias("x"), (F.col("o_custkey") % 400).alias("y")).where("x <> y")
+    own = F.col("o_orderkey")
+    o = table(spark, d, "orders").select(own.alias("x"), (own - own % 400 + (own * 7 + F.col("o_custkey")) % 400).alias("y")).where("x <> y")
     e = o.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return e.withColumn("length_m", F.lit(1.0) + (F.col("a") * 7 + F.col("b") * 3) % 50)
 
@@ -182,13 +181,13 @@ def flow_paths(spark, d):
     return graph.shortest_to_outlets(e, graph.degrees(e).where("node % 50 = 0").select("node")).select("node", r6("distance", "distance"), "parent")
 
 
-@query("flow_accumulate", f"WITH RECURSIVE {PATH_SQL}, am AS (SELECT o_custkey % 400 AS node, sum(o_totalprice) AS amount FROM orders GROUP BY 1), up(place, amount) AS (SELECT tree.node, amount FROM am JOIN tree USING (node) UNION ALL SELECT tree.parent, up.amount FROM up JOIN tree ON tree.node = up.place WHERE tree.parent IS NOT NULL), f AS (SELECT place, sum(amount) AS flow FROM up GROUP BY place) SELECT tree.node, parent, round(coalesce(flow, 0), 3) AS flow FROM tree LEFT JOIN f ON f.place = tree.node")
+@query("flow_accumulate", f"WITH RECURSIVE {PATH_SQL}, am AS (SELECT o_orderkey AS node, sum(o_totalprice) AS amount FROM orders GROUP BY 1), up(place, amount) AS (SELECT tree.node, amount FROM am JOIN tree USING (node) UNION ALL SELECT tree.parent, up.amount FROM up JOIN tree ON tree.node = up.place WHERE tree.parent IS NOT NULL), f AS (SELECT place, sum(amount) AS flow FROM up GROUP BY place) SELECT tree.node, parent, round(coalesce(flow, 0), 3) AS flow FROM tree LEFT JOIN f ON f.place = tree.node")
 def flow_accumulate(spark, d):
     from ..sources.scratch import written
 
     e = edges(spark, d)
     paths = written(graph.shortest_to_outlets(e, graph.degrees(e).where("node % 50 = 0").select("node")), "tree")
-    amounts = table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("node"), F.col("o_totalprice").alias("amount"))
+    amounts = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("amount"))
     return graph.accumulate(paths, amounts).select("node", "parent", F.round("flow", 3).alias("flow"))
 
 
@@ -200,15 +199,15 @@ def network_edges(spark, d):
 CLASS_SQL = "CASE WHEN a % 41 = 0 THEN 'public' WHEN a % 7 = 0 THEN 'main' WHEN a % 11 = 0 THEN NULL ELSE 'track' END"
 
 
-@query("component_violations", f"WITH RECURSIVE {EDGE_SQL}, n AS MATERIALIZED (SELECT a, b FROM ed UNION SELECT b, a FROM ed), k(id, lab) USING KEY (id) AS (SELECT DISTINCT a, a FROM n UNION SELECT x.id, x.lab FROM (SELECT n.b AS id, min(k.lab) AS lab FROM k JOIN n ON n.a = k.id GROUP BY n.b) x JOIN recurring.k o ON o.id = x.id WHERE x.lab < o.lab), s AS (SELECT a * 1000 + b AS id, {CLASS_SQL} AS class, lab AS component FROM ed JOIN k ON k.id = ed.a), w AS (SELECT *, coalesce(bool_or(class = 'public') OVER p, false) AS pub, coalesce(bool_or(class IN ('public', 'main')) OVER p, false) AS srv FROM s WINDOW p AS (PARTITION BY component)) SELECT id, component, pub AS reaches_public, CASE WHEN class = 'track' THEN NOT srv WHEN class = 'main' THEN NOT pub WHEN class IS NOT NULL THEN false END AS violates FROM w")
+@query("component_violations", f"WITH RECURSIVE {EDGE_SQL}, n AS MATERIALIZED (SELECT a, b FROM ed UNION SELECT b, a FROM ed), k(id, lab) USING KEY (id) AS (SELECT DISTINCT a, a FROM n UNION SELECT x.id, x.lab FROM (SELECT n.b AS id, min(k.lab) AS lab FROM k JOIN n ON n.a = k.id GROUP BY n.b) x JOIN recurring.k o ON o.id = x.id WHERE x.lab < o.lab), s AS (SELECT a * 400 + b % 400 AS id, {CLASS_SQL} AS class, lab AS component FROM ed JOIN k ON k.id = ed.a), w AS (SELECT *, coalesce(bool_or(class = 'public') OVER p, false) AS pub, coalesce(bool_or(class IN ('public', 'main')) OVER p, false) AS srv FROM s WINDOW p AS (PARTITION BY component)) SELECT id, component, pub AS reaches_public, CASE WHEN class = 'track' THEN NOT srv WHEN class = 'main' THEN NOT pub WHEN class IS NOT NULL THEN false END AS violates FROM w")
 def component_violations(spark, d):
-    s = edges(spark, d).select((F.col("a") * 1000 + F.col("b")).alias("id"), F.expr(CLASS_SQL).alias("class"), "a", "b")
+    s = edges(spark, d).select((F.col("a") * 400 + F.col("b") % 400).alias("id"), F.expr(CLASS_SQL).alias("class"), "a", "b")
     return graph.integrity(s).select("id", "component", "reaches_public", "violates")
 
 
-@query("road_typing", f"WITH {EDGE_SQL}, t AS (SELECT a * 1000 + b AS id, length_m, a % 2 = 0 AS z, CAST(greatest(1, (b >= 100)::INT + (b >= 200)::INT) AS BIGINT) AS type FROM ed), s AS (SELECT *, sum(length_m) OVER (ORDER BY z DESC, length_m DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t WHERE type = 1) SELECT id, type, coalesce(before, 0) < 500 AS converted FROM s UNION ALL SELECT id, type, false FROM t WHERE type <> 1")
+@query("road_typing", f"WITH {EDGE_SQL}, t AS (SELECT a * 400 + b % 400 AS id, length_m, a % 2 = 0 AS z, CAST(greatest(1, (b % 400 >= 100)::INT + (b % 400 >= 200)::INT) AS BIGINT) AS type FROM ed), s AS (SELECT *, sum(length_m) OVER (ORDER BY z DESC, length_m DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t WHERE type = 1) SELECT id, type, coalesce(before, 0) < 500 AS converted FROM s UNION ALL SELECT id, type, false FROM t WHERE type <> 1")
 def road_typing(spark, d):
-    e = edges(spark, d).select((F.col("a") * 1000 + F.col("b")).alias("id"), "length_m", F.col("b").cast("double").alias("flow"), (F.col("a") % 2 == 0).alias("z"))
+    e = edges(spark, d).select((F.col("a") * 400 + F.col("b") % 400).alias("id"), "length_m", (F.col("b") % 400).cast("double").alias("flow"), (F.col("a") % 2 == 0).alias("z"))
     return graph.type_roads(e, (100, 200), 500, F.col("z")).select("id", long("type", "type"), "converted")
 
 
@@ -302,10 +301,10 @@ def _gap(px: str, py: str, a: str, b: str) -> str:
     return f"sqrt(pow({px} - ({a}x + ({t}) * ({b}x - {a}x)), 2) + pow({py} - ({a}y + ({t}) * ({b}y - {a}y)), 2))"
 
 
-@query("fire_lines_near", f"WITH {SEG_SQL}, a AS (SELECT id, x0 AS pax, y0 AS pay, x1 AS pbx, y1 AS pby FROM sg WHERE id % 10 <> 0), o AS (SELECT x0 AS pcx, y0 AS pcy, x1 AS pdx, y1 AS pdy FROM sg WHERE id % 50 = 0), h AS (SELECT DISTINCT id FROM a, o WHERE ({CROSS('pa', 'pb', 'pc')} * {CROSS('pa', 'pb', 'pd')} < 0 AND {CROSS('pc', 'pd', 'pa')} * {CROSS('pc', 'pd', 'pb')} < 0) OR least({_gap('pax', 'pay', 'pc', 'pd')}, {_gap('pbx', 'pby', 'pc', 'pd')}, {_gap('pcx', 'pcy', 'pa', 'pb')}, {_gap('pdx', 'pdy', 'pa', 'pb')}) <= 3) SELECT DISTINCT sg.id, h.id IS NOT NULL AS fire FROM sg LEFT JOIN h USING (id) WHERE sg.id % 10 <> 0")
+@query("fire_lines_near", f"WITH {SEG_SQL}, a AS (SELECT id, x0 AS pax, y0 AS pay, x1 AS pbx, y1 AS pby FROM sg WHERE id % 50 <> 0), o AS (SELECT x0 AS pcx, y0 AS pcy, x1 AS pdx, y1 AS pdy FROM sg WHERE id % 50 = 0), h AS (SELECT DISTINCT id FROM a, o WHERE ({CROSS('pa', 'pb', 'pc')} * {CROSS('pa', 'pb', 'pd')} < 0 AND {CROSS('pc', 'pd', 'pa')} * {CROSS('pc', 'pd', 'pb')} < 0) OR least({_gap('pax', 'pay', 'pc', 'pd')}, {_gap('pbx', 'pby', 'pc', 'pd')}, {_gap('pcx', 'pcy', 'pa', 'pb')}, {_gap('pdx', 'pdy', 'pa', 'pb')}) <= 3) SELECT DISTINCT sg.id, h.id IS NOT NULL AS fire FROM sg LEFT JOIN h USING (id) WHERE sg.id % 50 <> 0")
 def fire_lines_near(spark, d):
     t = tracks(spark, d).withColumns({"class": F.lit("track"), "width": F.lit(5.0)})
-    return vector.flag_fire(t.where("id % 10 <> 0"), t.where("id % 50 = 0"), None, 3).select("id", "fire")
+    return vector.flag_fire(t.where("id % 50 <> 0"), t.where("id % 50 = 0"), None, 3).select("id", "fire")
 
 
 @query("near_border", f"WITH {TRACK_SQL} SELECT id, bool_or(x <= 12 OR x >= 230 OR y <= 12 OR y >= 198) AS near_border FROM v GROUP BY id")

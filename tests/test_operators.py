@@ -267,6 +267,30 @@ def test_components_contraction_and_flow(spark):
     assert math.isclose(flow[min(label)], 1.5 * sum(v == label[min(label)] for v in label.values()))
 
 
+def test_long_chains_and_rings(spark):
+    """A way of 700 legs, a ring of passages, a loop on a junction and a dead end, in the plan for large graphs."""
+    chain = [(i, i + 1, 1.0 + i % 3) for i in range(700)]
+    ring = [(1000, 1001, 1.0), (1001, 1002, 1.0), (1000, 1002, 1.0)]
+    loop = [(700, 800, 1.0), (800, 801, 5.0), (700, 801, 2.0), (700, 900, 4.0), (900, 901, 1.0)]
+    df = spark.createDataFrame(chain + ring + loop, "a long, b long, length_m double")
+    outlets = spark.createDataFrame([(0,), (350,)], "node long")
+    few, many = (graph.shortest_to_outlets(df, outlets, **k).collect() for k in ({}, {"local": 0}))
+    assert sorted(map(tuple, few), key=str) == sorted(map(tuple, many), key=str) and len(few) == 705
+    label = {r.id: r.component for r in graph.components(df, local=0).collect()}
+    assert label == {x: 0 if x < 1000 else 1000 for e in chain + ring + loop for x in e[:2]}
+
+
+def test_rows_are_numbered_once(spark):
+    """Lines that come within a distance, from a plan whose row order is not fixed."""
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    lines = spark.range(400).selectExpr("id", "id * 10.0 AS y").repartition(7, "y").collect()
+    df = spark.createDataFrame([(r.id, [p(0, r.y), p(5, r.y)]) for r in lines], "id long, vertices array<struct<x:double,y:double>>")
+    df = df.groupBy("id").agg(F.first("vertices").alias("vertices"))
+    other = spark.createDataFrame([(1, [p(2, 95), p(2, 125)])], "id long, vertices array<struct<x:double,y:double>>")
+    assert sorted(r.id for r in vector.lines_within(df, other, 6).collect()) == [9, 10, 11, 12, 13]
+    assert {(r.id, r.x, r.y) for r in vector.point_at(df, F.lit(2.0)).collect()} == {(i, 2.0, 10.0 * i) for i in range(400)}
+
+
 def test_integrity_causes(spark):
     s = spark.createDataFrame([(1, "track", 1, 2), (2, "main", 2, 3), (3, "track", 10, 11), (4, None, 20, 21), (5, "public", 3, 4)], "id long, class string, a long, b long")
     got = {r.id: (r.reaches_public, r.violates) for r in graph.integrity(s).collect()}
