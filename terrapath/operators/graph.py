@@ -42,24 +42,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL)
     e = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "edges")
     if e.limit(local + 1).count() <= local:
         return e.groupBy(F.lit(0).alias("k")).applyInPandas(united, "id long, component long")
-    # each round every node takes its smallest neighbour, labels jump once, and the edges are drawn anew between labels:
-    # they shrink by half or more, so a chain of any length is settled in some log2 of it rounds
+    # each round every node points to the node around it, itself included, whose hash is smallest, and then to that
+    # one's own; the edges are drawn anew between the nodes pointed to. Hashes change with the round, so a chain in any
+    # order of ids shrinks by a share each round
+    ids = written(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     e = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    ids = written(edges.select(F.explode(F.array(F.col(a).cast("long"), F.col(b).cast("long"))).alias("id")).distinct(), "nodes")
-    maps: list[DataFrame] = []
+    label, turn = ids.select("id", F.col("id").alias("mark")), 0
     while e.limit(1).count():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("up")), "hook")
+        around = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b"))
+        up = F.when(F.col("m.h") < F.xxhash64("a", F.lit(turn)), F.col("m.b")).otherwise(F.col("a"))
+        hook = written(around.groupBy("a").agg(least.alias("m")).select(F.col("a").alias("id"), up.alias("up")), "hook")
         jump = written(hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "jump")
-        maps.append(jump)
         x, y = jump.select(F.col("id").alias("a"), F.col("up").alias("x")), jump.select(F.col("id").alias("b"), F.col("up").alias("y"))
         met = e.join(x, "a").join(y, "b").where("x <> y")
         e = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    label = ids.select("id", F.col("id").alias("component"))
-    for m in maps:
-        up = m.select(F.col("id").alias("component"), "up")
-        label = label.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-    return label
+        moved = jump.select(F.col("id").alias("mark"), "up")
+        label = written(label.join(moved, "mark", "left").select("id", F.coalesce("up", "mark").alias("mark")), "labels")
+        turn += 1
+    smallest = label.groupBy("mark").agg(F.min("id").alias("component"))
+    return label.join(smallest, "mark").select("id", "component")
 
 
 def fine_edges(cells: DataFrame, network: Column, res: float = 5.0) -> DataFrame:

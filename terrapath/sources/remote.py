@@ -131,21 +131,36 @@ class TiledReader(DataSourceReader):
         module, name = self.options["transport"].split(":")
         transport = getattr(__import__(module, fromlist=[name]), name)
 
-        def ask() -> list[dict]:
-            status, _, body = transport(wfs_url(self.options["url"], self.options["typename"], partition.box, int(self.options.get("crs", 2154))))
+        o, waits = self.options, tuple(float(x) for x in self.options.get("waits", "1,3").split(",") if x)
+        count, start = int(o.get("count", 1000)), 0
+
+        def ask() -> dict:
+            status, _, body = transport(wfs_url(o["url"], o["typename"], partition.box, int(o.get("crs", 2154)), start, count))
             if verdict(status, body) != "ok":
                 raise Unreachable(f"status {status}")
-            return json.loads(body)["features"]
-
-        for f in retry(ask, tuple(float(x) for x in self.options.get("waits", "1,3").split(",") if x)):
-            row = {**f.get("properties", {}), "id": f.get("id"), "geometry": json.dumps(f.get("geometry"))}
-            yield tuple(row.get(n) for n in self.names)
+            return json.loads(body)
+
+        while True:  # page by page: a full page may have another after it
+            page = retry(ask, waits)
+            found = page["features"]
+            for f in found:
+                row = {**f.get("properties", {}), "id": f.get("id"), "geometry": json.dumps(f.get("geometry"))}
+                yield tuple(row.get(n) for n in self.names)
+            start += len(found)
+            matched = page.get("numberMatched")
+            known = matched if isinstance(matched, int) else None
+            if not found or (start >= known if known is not None else len(found) < count):
+                if known is not None and start < known:
+                    raise Unreachable(f"{start} of {known} features of a tile came")
+                return
 
 
 class TiledFeatures(DataSource):
     """spark.read.format("tiled_features"): a WFS layer, a task per tile; `keep_first` on id drops seam copies.
 
-    Options: url, typename, x0, y0, x1, y1, crs, side, overlap, waits and transport ("module:function")."""
+    Options: url, typename, x0, y0, x1, y1, crs, side, overlap, count (features of a page), waits and transport
+    ("module:function"). A tile is read page by page; a tile that ends before the number of features that the server
+    announces raises."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from terrapath.sources import features, layers, provenance, registry, remote
@@ -109,6 +110,25 @@ def test_tiled_source(spark):
     assert features.keep_first(df, "id", ["id"]).count() == 3
 
 
+def paged(url):
+    """A server with 2,345 features, at most 1,000 a page; with `short` it announces one more than it has."""
+    ask = {k: v for k, v in (x.split("=", 1) for x in url.split("?", 1)[1].split("&"))}
+    low, count = int(ask["STARTINDEX"]), min(1000, int(ask["COUNT"]))
+    found = [{"id": f"f{i}", "properties": {}, "geometry": None} for i in range(low, min(low + count, 2345))]
+    matched = {"t": 2345, "short": 2346}.get(ask["TYPENAMES"], "unknown")
+    return 200, {}, json.dumps({"features": found, "numberMatched": matched}).encode()
+
+
+@pytest.mark.parametrize(("typename", "count"), [("t", 1000), ("t", 5000), ("unknown", 1000), ("t", 7)])
+def test_a_tile_is_read_to_its_last_page(typename, count):
+    schema = StructType().add("id", "string")
+    options = {"url": "http://w", "typename": typename, "waits": "", "count": count, "transport": "tests.test_sources:paged"}
+    rows = list(remote.TiledReader(schema, options).read(remote.TilePartition(remote.Box(0, 0, 1, 1))))
+    assert [r[0] for r in rows] == [f"f{i}" for i in range(2345)]
+    with pytest.raises(remote.Unreachable, match="2345 of 2346"):
+        list(remote.TiledReader(schema, {**options, "typename": "short"}).read(remote.TilePartition(remote.Box(0, 0, 1, 1))))
+
+
 def test_unify_keeps_what_does_not_convert(spark):
     a = spark.createDataFrame([(1, "x7")], "id int, v string")
     b = spark.createDataFrame([(2, 5)], "id int, v int")
