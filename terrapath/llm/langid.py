@@ -18,7 +18,6 @@ scored; other columns are ignored."""
 from __future__ import annotations
 
 import re
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -32,20 +31,19 @@ from pyspark.sql.types import StructType
 from .common import bounded_batches
 
 SAMPLE_PER_LANG, WORDS_PER_LANG, GRAMS_PER_LANG, N_MAX, MIN_COUNT = 4000, 20_000, 5000, 4, 2
-
-
-def letters() -> re.Pattern:
-    """Runs of letters (Unicode category L), as training cuts them: \\w without the digits, the underscore and numbers
-    such as a half or a Roman numeral."""
-    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{''.join(numbers)}]+")
-
-
-WORD = letters()
+WORD = re.compile(r"[^\W\d_]+")
 #: At most this many words of one text are held at a time.
 AT_ONCE = 1 << 20
 
 
+def letters(found: list[str]) -> list[str]:
+    """Runs of letters (Unicode category L) within matches of WORD, which also takes numbers such as a half or a Roman
+    numeral; training cuts words in the same way."""
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 class Model:
     """langs: sorted names. words and grams: text to a row of `table`, log frequencies per language."""
 
@@ -102,11 +100,11 @@ class Scorer:
     def parts(self, text: str) -> Iterator[list[str]]:
         """The words of a text, at most about AT_ONCE at a time."""
         if len(text) <= AT_ONCE:
-            yield WORD.findall(text.lower())
+            yield letters(WORD.findall(text.lower()))
             return
         found = WORD.finditer(text.lower())
         while part := [m.group() for m in islice(found, AT_ONCE)]:
-            yield part
+            yield letters(part)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, known, any_word = np.zeros(len(self.model.langs)), 0, False
