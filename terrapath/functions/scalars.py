@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -72,22 +73,24 @@ def earthworks_cost(slope_pct: Column, width_m: float, e: Earthworks | None = No
     return F.when(~impossible, cut * e.cut_price + fill * e.fill_price + F.greatest(cut - fill, F.lit(0.0)) * e.haul_price)
 
 
-def _arg(v: Column, f: Column | float, w: Column | float, share: Column | float, th: Column) -> Column:
-    return (v - f - w * share) / th
+def _bend(g: Callable[[Column], Column], th: Column, tv: Column, lo: Column, w: Column, f: Column, s1: Column, s: Column) -> Column:
+    """How much g of the cable's inclination (vertical over horizontal tension) falls from the upper support to the
+    load at s1, and from below the load to s."""
+    pull = lambda at, load: g((tv - load - w * at / lo) / th)
+    none = F.lit(0.0)
+    return (pull(none, none) - pull(s1, none)) + (pull(s1, f) - pull(s, f))
 
 
 def catenary_x(th: Column, tv: Column, lo: Column, eao: Column, w: Column, f: Column, s1: Column, s: Column) -> Column:
     """Horizontal place on a loaded elastic cable at unstretched length s: load f at s1, weight w over lo."""
-    a = F.asinh(tv / th) - F.asinh(_arg(tv, f, w, s / lo, th)) + F.asinh(_arg(tv, f, w, s1 / lo, th)) - F.asinh(_arg(tv, F.lit(0.0), w, s1 / lo, th))
-    return th * s / eao + th * lo / w * a
+    return th * (s / eao + lo / w * _bend(F.asinh, th, tv, lo, w, f, s1, s))
 
 
 def catenary_z(th: Column, tv: Column, lo: Column, eao: Column, w: Column, f: Column, s1: Column, s: Column) -> Column:
-    """Fall below the upper support at unstretched length s."""
-    root = lambda x: F.sqrt(1 + F.pow(x, 2))
-    a = root(tv / th) - root(_arg(tv, f, w, s / lo, th)) + f * w / (th * eao) * (s1 / lo - s / lo)
-    a = a + root(_arg(tv, f, w, s1 / lo, th)) - root(_arg(tv, F.lit(0.0), w, s1 / lo, th))
-    return w * s / eao * (tv / w - s / (2 * lo)) + th * lo / w * a
+    """Fall below the upper support at unstretched length s: what the tension stretches, what the load takes off beyond
+    s1, and the bend."""
+    stretch = (tv * s - w * s * s / (2 * lo) - f * (s - s1)) / eao
+    return stretch + th * lo / w * _bend(lambda v: F.sqrt(1 + v * v), th, tv, lo, w, f, s1, s)
 
 
 def catenary_gap_x(th: Column, tv: Column, lo: Column, eao: Column, w: Column, f: Column, s1: Column, d: Column) -> Column:

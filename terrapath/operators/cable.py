@@ -57,6 +57,32 @@ def solve_tension(lo, eao, w, f, s, d, h, th, tv, steps: int = 30, tol: float =
     return th, tv, np.abs(x) + np.abs(z) < 0.05
 
 
+def tension_by_grid(lo, eao, w, f, s, d, h, tmax: float, step: float, close: float = 0.05, enough: float = 0.03) -> tuple[float, float, bool]:
+    """(th, tv, feasible): the node of a grid of tensions below tmax whose closing errors are both under `close` and
+    smallest in sum, or the first under `enough`; (-1, -1) if there is none. Feasible means not above tmax."""
+    at = np.arange(0, int(tmax), step, dtype=float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, z = gaps(at[:, None], at[None, :], lo, eao, w, f, s, d, h)
+    total = np.where((np.abs(x) < close) & (np.abs(z) < close), np.abs(x) + np.abs(z), np.inf).ravel()
+    if not np.isfinite(total).any():
+        return -1.0, -1.0, math.hypot(1, 1) <= tmax
+    good = np.flatnonzero(total < enough)
+    i, j = divmod(int(good[0] if len(good) else np.argmin(total)), len(at))
+    return float(at[i]), float(at[j]), math.hypot(at[i], at[j]) <= tmax
+
+
+def grid_tensions(spans: DataFrame, tmax: float, step: float) -> DataFrame:
+    """spans (id, lo, eao, w, f, s, d, h) to (id, th, tv, feasible), each by `tension_by_grid`."""
+    names = ["lo", "eao", "w", "f", "s", "d", "h"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = [tension_by_grid(*row, tmax, step) for row in p[names].itertuples(index=False)]
+            yield pd.DataFrame({"id": p["id"], "th": [x[0] for x in found], "tv": [x[1] for x in found], "feasible": [x[2] for x in found]})
+
+    return spans.select("id", *names).mapInPandas(run, "id long, th double, tv double, feasible boolean")
+
+
 def place_on_cable(th, tv, lo, eao, w, f, s):
     """(across, down) from the upper support to the load at s."""
     a, c = tv / th, (tv - w * s / lo) / th

@@ -24,6 +24,18 @@ def class_recap(cells: DataFrame, levels: DataFrame, value: str = "value", volum
     return out.select("class", F.coalesce("cells", F.lit(0)).cast("long").alias("cells"), (F.coalesce("cells", F.lit(0)) * (res * res) / 10000).alias("area_ha"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median) of the values that are not null; the mean of the two middle ones where their number is even."""
+    return rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.median(value).alias("median"))
+
+
+def summary_lines(recap: DataFrame, title: str) -> DataFrame:
+    """(line): a class recap (class, area_ha) for people to read, the classes' areas and their shares of the whole."""
+    total = recap.agg(F.sum("area_ha").alias("total"))
+    share = F.when(F.col("total") > 0, 100 * F.col("area_ha") / F.col("total")).otherwise(0.0)
+    return recap.join(F.broadcast(total)).select(F.format_string("%s: %s %.4f ha (%.3f %%)", F.lit(title), "class", "area_ha", share).alias("line"))
+
+
 def safe_name(x: str) -> str:
     """Lower case, other characters than letters and digits as single underscores, none at the ends."""
     out = "".join(c if c.isalnum() and c.isascii() else "_" for c in x.lower())

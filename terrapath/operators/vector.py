@@ -5,6 +5,8 @@ meet in, join on bucket equality and test exactly; a bucket is as wide as the la
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +107,68 @@ def cells_in_polygons(cells: DataFrame, polygons: DataFrame, res: float, ring: s
     return t.join(p, ["__br", "__bc"]).where(inside(F.col(ring), F.col("__x"), F.col("__y"))).drop("__br", "__bc", "__x", "__y", ring)
 
 
+RING = "array<struct<x:double,y:double>>"
+
+
+def half_plane(ring: Column, edge: Column) -> Column:
+    """The part of a ring (open, array of points) beyond an edge: a struct of `along` (whether it bounds x), `bound` and
+    `above`."""
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.least(F.size(ring), F.lit(1))))
+    own = lambda p: F.when(edge["along"], p["x"]).otherwise(p["y"])
+    other = lambda p: F.when(edge["along"], p["y"]).otherwise(p["x"])
+    within = lambda p: F.when(edge["above"], own(p) >= edge["bound"]).otherwise(own(p) <= edge["bound"])
+
+    def step(p: Column, q: Column) -> Column:
+        met = other(p) + (edge["bound"] - own(p)) / (own(q) - own(p)) * (other(q) - other(p))
+        cut = F.struct(F.when(edge["along"], edge["bound"]).otherwise(met).alias("x"), F.when(edge["along"], met).otherwise(edge["bound"]).alias("y"))
+        return F.filter(F.array(F.when(within(p), p), F.when(within(p) != within(q), cut)), lambda x: x.isNotNull())
+
+    return F.flatten(F.zip_with(ring, after, step)).cast(RING)
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring, by the sum of its edges' cross products."""
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+    return F.abs(F.aggregate(F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x)) / 2
+
+
+def clip(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float, ring: str = "ring") -> DataFrame:
+    """polygons with their rings cut to a box, and `area`; those without area inside are left out, as are rings of fewer
+    than three different points. A last point that repeats the first is dropped."""
+    r = F.col(ring)
+    r = F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+    out = polygons.withColumn(ring, r).where(F.size(F.array_distinct(ring)) >= 3)
+    # one expression that is handed the ring four times, as four columns would be multiplied out into each other
+    edge = lambda along, bound, above: F.struct(F.lit(along).alias("along"), F.lit(float(bound)).alias("bound"), F.lit(above).alias("above"))
+    box = F.array(edge(True, x0, True), edge(True, x1, False), edge(False, y0, True), edge(False, y1, False))
+    out = out.withColumn(ring, F.aggregate(box, F.col(ring).cast(RING), half_plane))
+    return out.where(F.size(ring) >= 3).withColumn("area", ring_area(F.col(ring))).where("area > 0")
+
+
+def lambert_conic(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """(x, y) in metres of degrees on the GRS80 ellipsoid, in the conformal conic of two standard parallels that the
+    French grid uses."""
+    # fixed values: axis and flattening of the ellipsoid, parallels, origin and false origin of the grid
+    a, e2 = 6378137.0, (2 - 1 / 298.257222101) / 298.257222101
+    south, north, lat0, lon0, x0, y0 = 44.0, 49.0, 46.5, 3.0, 700000.0, 6600000.0
+    e = math.sqrt(e2)
+
+    def radius(phi: float) -> float:
+        return math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+
+    def iso(phi: float) -> float:
+        return math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi))
+
+    lo, hi = math.radians(south), math.radians(north)
+    n = math.log(radius(lo) / radius(hi)) / (iso(hi) - iso(lo))
+    scale = a * radius(lo) / n * math.exp(n * iso(lo))
+    top = scale * math.exp(-n * iso(math.radians(lat0)))
+    sin = F.sin(F.radians(lat))
+    rho = F.exp(-n * (F.atanh(sin) - e * F.atanh(e * sin))) * scale
+    turn = n * F.radians(lon - lon0)
+    return x0 + rho * F.sin(turn), y0 + top - rho * F.cos(turn)
+
+
 def last_zone(cells: DataFrame, polygons: DataFrame, res: float, rank: str = "rank", ring: str = "ring") -> DataFrame:
     """(cell, zone): each cell's zone, the one of the highest rank where zones overlap."""
     return cells_in_polygons(cells.select("cell", "r", "c"), polygons, res, ring).groupBy("cell").agg(F.max(rank).alias("zone"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import pyramid
+from ..operators.relief import combined_relief
 from .layers import FolderStore
 from .provenance import differences
 from .remote import Box, Unreachable
@@ -46,3 +47,24 @@ def coarse_dtm(cells: DataFrame, factor: int, least: float = 0.9) -> DataFrame:
     if not n.n or n.ok < least * n.n:
         raise ValueError(f"{n.ok or 0} of {n.n} cells have an elevation")
     return pyramid(cells, "z", factor)
+
+
+def precomputed_relief(store: FolderStore, r0: int, r1: int, c0: int, c1: int, fetch: Callable[[], DataFrame], res: float = 5.0, least: float = 0.9, dtm: str = "dtm", relief: str = "relief") -> DataFrame:
+    """(cell, r, c, relief) for a box of cells, relief in whole numbers of 0 to 255, stored as a layer.
+
+    The stored elevation is used if it covers the box and has values in `least` of it; else it is fetched and stored."""
+    box = F.col("r").between(r0, r1) & F.col("c").between(c0, c1)
+    asked = (r1 - r0 + 1) * (c1 - c0 + 1)
+
+    def covers(df: DataFrame) -> bool:
+        n = df.where(box).agg(F.count("*").alias("n"), F.sum(F.when(F.col("z").isNotNull() & ~F.isnan("z"), 1).otherwise(0)).alias("ok")).first()
+        return n.n == asked and n.ok >= least * asked
+
+    if dtm not in store.names() or not covers(store.read(dtm)):
+        store.write(dtm, fetch())
+        if not covers(store.read(dtm)):
+            raise ValueError(f"the elevation does not cover {least:.0%} of the box")
+    cells = store.read(dtm).where(box)
+    made = combined_relief(cells, "z", res).select("cell", F.col("relief").cast("smallint").alias("relief"))
+    store.write(relief, cells.select("cell", "r", "c").join(made, "cell"))
+    return store.read(relief)

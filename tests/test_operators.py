@@ -460,3 +460,28 @@ def test_prepare_from_lines(spark):
     roads = spark.createDataFrame([("main", [(2.5, 12.5), (47.0, 12.5)]), ("public", [(22.5, 1.0), (22.5, 24.0)]), ("off_road", [(1.0, 1.0), (4.0, 4.0)])], "class string, vertices array<struct<x:double,y:double>>")
     p = {(r.r, r.c): r for r in pp.prepare(plane(spark, 10, 0.2), CONFIG, roads=roads).collect()}
     assert p[2, 3].road == 1 and p[2, 4].road == 4 and p[0, 0].road is None and math.isclose(p[5, 5].slope_max, 20) and p[5, 5].excluded is False
+
+
+def test_clip_keeps_rings_right(spark):
+    """Closed and open rings, rings outside, within and around the box, and rings without area."""
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    around = [p(-9, -9), p(99, -9), p(99, 99), p(-9, 99), p(-9, -9)]
+    rings = [around, [p(1, 1), p(3, 1), p(3, 3)], [p(50, 50), p(60, 50), p(60, 60)], [p(1, 1), p(2, 2)], [p(1, 1), p(2, 2), p(3, 3)], [p(8, 5), p(12, 5), p(12, 7), p(8, 7)]]
+    df = spark.createDataFrame(list(enumerate(rings)), "id long, ring array<struct<x:double,y:double>>")
+    got = {r.id: (r.area, {(q.x, q.y) for q in r.ring}) for r in vector.clip(df, 0, 0, 10, 10).collect()}
+    assert got == {0: (100.0, {(0, 0), (10, 0), (10, 10), (0, 10)}), 1: (2.0, {(1, 1), (3, 1), (3, 3)}), 5: (4.0, {(8, 5), (10, 5), (10, 7), (8, 7)})}
+
+
+def test_projection_at_the_origin(spark):
+    x, y = vector.lambert_conic(F.lit(3.0), F.lit(46.5))
+    r = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    assert (round(r.x, 6), round(r.y, 6)) == (700000.0, 6600000.0)
+
+
+def test_grid_of_tensions_agrees_with_newton():
+    lo, eao, w, f, s, d, h = 100.0, 2e7, 1500.0, 5000.0, 45.0, 96.0, 25.0
+    th, tv, feasible = cable.tension_by_grid(lo, eao, w, f, s, d, h, 30000, 20)
+    exact = cable.solve_tension(lo, eao, w, f, s, d, h, np.array([th]), np.array([tv]))
+    assert feasible and exact[2].all() and abs(th - exact[0][0]) < 200 and abs(tv - exact[1][0]) < 200
+    assert all(abs(x) < 0.05 for x in cable.gaps(th, tv, lo, eao, w, f, s, d, h))
+    assert cable.tension_by_grid(lo, eao, w, f, s, 300.0, h, 5000, 100)[:2] == (-1.0, -1.0)

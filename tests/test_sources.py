@@ -196,3 +196,22 @@ def test_acquire(spark, tmp_path):
     assert aq.coarse_dtm(grid, 2, 0.7).first().z == 3.0
     with pytest.raises(ValueError):
         aq.coarse_dtm(grid, 2)
+
+
+def test_precomputed_relief_reuses_what_covers_the_box(spark, tmp_path):
+    from terrapath.sources import acquire
+    from terrapath.sources.layers import FolderStore
+
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return spark.range(400).selectExpr("id AS cell", "id div 20 AS r", "id % 20 AS c", "IF(id % 20 < 19, 100.0 + id % 20, NULL) AS z")
+
+    store = FolderStore(spark, f"file://{tmp_path}/store")
+    out = acquire.precomputed_relief(store, 0, 9, 0, 9, fetch)
+    assert out.count() == 100 and out.dtypes[-1] == ("relief", "smallint")
+    assert out.selectExpr("min(relief) >= 0 AND max(relief) <= 255 AS ok").first().ok
+    assert acquire.precomputed_relief(store, 5, 14, 5, 14, fetch).count() == 100 and len(calls) == 1
+    with pytest.raises(ValueError, match="does not cover"):
+        acquire.precomputed_relief(store, 0, 30, 0, 9, fetch)
