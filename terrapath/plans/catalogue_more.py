@@ -58,16 +58,16 @@ def summary_lines(spark, d):
     return recap.summary_lines(grid(spark, d).groupBy(road.alias("class")).agg((F.count("*") * 25 / 10000).alias("area_ha")), "roads")
 
 
-SPAN_SQL = "sp AS (SELECT s_suppkey AS id, 100e0 + s_suppkey % 7 * 0.4e0 AS lo, 2e7 AS eao, 1500e0 AS w, 5000e0 + s_suppkey % 5 * 100 AS f, 40e0 + s_suppkey % 11 AS s, 93e0 + s_suppkey % 3 AS d, 10e0 + s_suppkey % 13 AS h FROM supplier)"
+SPAN_SQL = "sp AS (SELECT s_suppkey AS id, 100e0 + s_suppkey % 7 * 0.4e0 AS lo, 2e7 AS eao, 1500e0 AS w, 5000e0 + s_suppkey % 5 * 100 AS f, 40e0 + s_suppkey % 11 AS s, 85e0 + s_suppkey % 3 AS d, 10e0 + s_suppkey % 13 AS h FROM supplier)"
 
 
-@query("tension_grid", f"""WITH {SPAN_SQL}, g AS (SELECT sp.*, i * 100e0 AS th, j * 100e0 AS tv FROM sp, range(1, 150) a(i), range(0, 150) b(j)),
+@query("tension_grid", f"""WITH {SPAN_SQL}, g AS (SELECT sp.*, i * 20e0 AS th, j * 20e0 AS tv FROM sp, range(1, 300) a(i), range(0, 300) b(j)),
 c AS (SELECT *, th * lo / eao + th * lo / w * (asinh(tv / th) - asinh((tv - f - w) / th) + asinh((tv - f - w * s / lo) / th) - asinh((tv - w * s / lo) / th)) - d AS gx,
 w * lo / eao * (tv / w - 0.5e0) + th * lo / w * (sqrt(1 + pow(tv / th, 2)) - sqrt(1 + pow((tv - f - w) / th, 2)) + f * w / (th * eao) * (s / lo - 1) + sqrt(1 + pow((tv - f - w * s / lo) / th, 2)) - sqrt(1 + pow((tv - w * s / lo) / th, 2))) - h AS gz FROM g),
 k AS (SELECT id, th, tv, abs(gx) + abs(gz) AS e FROM c WHERE abs(gx) < 0.05 AND abs(gz) < 0.05), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY e >= 0.03, CASE WHEN e < 0.03 THEN 0 ELSE e END, th, tv) AS rn FROM k)
-SELECT sp.id, coalesce(th, -1e0) AS th, coalesce(tv, -1e0) AS tv, coalesce(sqrt(th * th + tv * tv) <= 15000, true) AS feasible FROM sp LEFT JOIN m ON m.id = sp.id AND rn = 1""")
+SELECT sp.id, coalesce(th, -1e0) AS th, coalesce(tv, -1e0) AS tv, coalesce(sqrt(th * th + tv * tv) <= 6000, true) AS feasible FROM sp LEFT JOIN m ON m.id = sp.id AND rn = 1""")
 def tension_grid(spark, d):
     k = F.col("s_suppkey")
     f = lambda x: F.lit(float(x))
-    spans = table(spark, d, "supplier").select(k.alias("id"), (f(100) + k % 7 * f(0.4)).alias("lo"), f(2e7).alias("eao"), f(1500).alias("w"), (f(5000) + k % 5 * 100).alias("f"), (f(40) + k % 11).alias("s"), (f(93) + k % 3).alias("d"), (f(10) + k % 13).alias("h"))
-    return cable.grid_tensions(spans, 15000, 100)
+    spans = table(spark, d, "supplier").select(k.alias("id"), (f(100) + k % 7 * f(0.4)).alias("lo"), f(2e7).alias("eao"), f(1500).alias("w"), (f(5000) + k % 5 * 100).alias("f"), (f(40) + k % 11).alias("s"), (f(85) + k % 3).alias("d"), (f(10) + k % 13).alias("h"))
+    return cable.grid_tensions(spans, 6000, 20)
