@@ -11,7 +11,9 @@ smaller doc_id is removed; strings are judged on the input, and matches never cr
    nothing. A gram found repeated within one task is sent on once, so a gram that a third of all documents
    share does not gather in one task.
 3. Around each such anchor all its strings lie within one short context. Equal contexts are taken together:
-   in order of doc_id, later documents lose the strings of a context seen before. The strings of the
+   in order of doc_id, later documents lose the strings of a context seen before. A task that meets a context
+   again, in a document with a larger doc_id, sends on only that its strings go: so a passage that a third of all
+   documents share reaches the task of its gram about once per task before, not once per document. The strings of the
    contexts left under a gram are suffixes of those contexts and are sorted: multikey quicksort (8 bytes at a
    time, all groups of a round together) to SHALLOW bytes, then blind tries for the groups that remain. Equal
    strings stand next to each other, and those of a document above the smallest are removed.
@@ -36,8 +38,9 @@ LAST = (1 << 63) - 1
 U = np.uint64
 #: Bits of a packed word that hold a position; longer texts are taken in parts.
 PLACE = U((1 << 26) - 1)
-#: Bytes of text whose anchors meet in one bucket, anchors held before they are sent, strings sorted at a time.
-BUCKET_BYTES, HELD, AT_ONCE = 8 << 20, 1 << 19, 1 << 18
+#: Bytes of text whose anchors meet in one bucket, anchors held before they are sent, strings sorted at a time,
+#: contexts that a task remembers, bytes of text whose contexts meet in one task.
+BUCKET_BYTES, HELD, AT_ONCE, REMEMBERED, TASK_BYTES = 8 << 20, 1 << 19, 1 << 18, 1 << 16, 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -339,13 +342,16 @@ def one_each(raw: np.ndarray, h: np.ndarray, offset: np.ndarray, first: np.ndarr
 
 def contexts(texts: DataFrame) -> DataFrame:
     """(gram, doc, row, first, offset, context, more) of (row, doc, text, places): an anchor's strings lie within the
-    context, which starts at `first`; `more` packs the other places where the row has the same context."""
+    context, which starts at `first`; `more` packs the other places where the row has the same context. A null context
+    says that the `offset` bytes from `first` go, as a smaller doc has the same in this task; its gram is any number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest: dict[tuple[int, bytes], int] = {}  # the smallest doc sent on for a context
         for b in batches:
             found: list[tuple] = []
             bodies: list[np.ndarray] = []
             more: list[bytes | None] = []
+            gone: list[np.ndarray] = []
             for row, doc, text, places in zip(*b.columns, strict=True):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 h, at, first, last = anchors(raw)
@@ -355,15 +361,33 @@ def contexts(texts: DataFrame) -> DataFrame:
                     continue
                 keep, again = one_each(raw, h, at - first, first, size)
                 h, at, first, size = h[keep], at[keep], first[keep], size[keep]
-                end = np.cumsum(size)
-                bodies.append(raw[np.repeat(first - (end - size), size) + np.arange(end[-1])])
-                found.append((h.view(np.int64), np.full(len(h), doc.as_py()), np.full(len(h), row.as_py()), first, (at - first).astype(np.int32), size))
                 more += again
+                own, data, known = doc.as_py(), raw.tobytes(), np.zeros(len(h), bool)
+                offset = (at - first).astype(np.int32)
+                for i, (o, a, n) in enumerate(zip(offset.tolist(), first.tolist(), size.tolist(), strict=True)):
+                    c = (o, data[a : a + n])
+                    seen = smallest.get(c)
+                    if seen is not None and seen < own:
+                        known[i] = True
+                    elif seen is None or own < seen:
+                        smallest[c] = own
+                if len(smallest) > REMEMBERED:
+                    smallest.clear()
+                gram = h.view(np.int64)
+                if known.any():
+                    gram = np.where(known, mix(np.full(len(h), row.as_py()).view(np.uint64)).view(np.int64), gram)
+                    offset = np.where(known, size, offset).astype(np.int32)
+                    size = np.where(known, 0, size)
+                if (end := np.cumsum(size))[-1]:
+                    bodies.append(raw[np.repeat(first - (end - size), size) + np.arange(end[-1])])
+                gone.append(known)
+                found.append((gram, np.full(len(h), own), np.full(len(h), row.as_py()), first, offset, size))
             if not found:
                 continue
             *columns, size = (np.concatenate(x) for x in zip(*found, strict=True))
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            ctx = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(bodies).tobytes())])
+            there = pa.py_buffer(np.packbits(~np.concatenate(gone), bitorder="little").tobytes())
+            ctx = pa.Array.from_buffers(pa.binary(), len(size), [there, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(x.tobytes() for x in bodies))])
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ctx, pa.array(more, pa.binary())], ["gram", "doc", "row", "first", "offset", "context", "more"])
 
     return texts.select("row", "doc", "text", "places").mapInArrow(run, "gram long, doc long, row long, first long, offset int, context binary, more binary")
@@ -390,10 +414,10 @@ def sorted_strings(held: list[tuple[int, int, bytes]], width: int = WIDTH) -> li
     return np.split(out, np.cumsum(count)[:-1])
 
 
-def removed_spans(ctx: DataFrame) -> DataFrame:
+def removed_spans(ctx: DataFrame, parts: int) -> DataFrame:
     """(row, start, stop) of the strings to remove, some of them overlapping."""
 
-    ordered = ctx.repartition("gram").sortWithinPartitions("gram", "doc")
+    ordered = ctx.repartition(parts, "gram").sortWithinPartitions("gram", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -428,12 +452,15 @@ def removed_spans(ctx: DataFrame) -> DataFrame:
         for b in batches:
             gram, doc, row, first, offset = (b.column(i).to_numpy().tolist() for i in range(5))
             for g, d, r, f, o, c, m in zip(gram, doc, row, first, offset, b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
+                starts = [f] if m is None else [f, *np.frombuffer(m, np.int64).tolist()]
+                if c is None:
+                    out.extend((r, x, x + o) for x in starts)
+                    continue
                 if g != last:
                     close()
                     last = g
                     if strings >= AT_ONCE:
                         yield flush()
-                starts = [f] if m is None else [f, *np.frombuffer(m, np.int64).tolist()]
                 known = seen.get((o, c))
                 if known is None:
                     seen[o, c] = (d, [(r, x) for x in starts])
@@ -464,7 +491,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     buckets = 1 << max(3, (size // BUCKET_BYTES).bit_length())
     shared = written(shared_anchors(texts.select("row", "text"), buckets), "anchors")
     places = shared.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"))
-    spans = removed_spans(contexts(texts.join(places, "row")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    spans = removed_spans(contexts(texts.join(places, "row")), parts)
     per_row = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     per_row = written(per_row, "spans")
     ids = broadcast_if_small(per_row.select("row"))

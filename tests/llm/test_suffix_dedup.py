@@ -116,6 +116,20 @@ def test_small_bounds_change_nothing(spark, monkeypatch):
             assert gone.tolist() == [least[c[i : i + 50]] < d for i in range(len(c) - 49)]
 
 
+def test_a_shared_passage_is_sent_once_per_task(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = text(rng, 300)
+    rows = [(i * 7 % 41, text(rng, rng.randrange(0, 90)) + "|" + passage + "|" + text(rng, 70)) for i in range(40)]
+    df = spark.createDataFrame([(d, d, t, t) for d, t in rows], "row long, doc long, text string, body string").coalesce(1)
+    at = {d: sorted({int(x) for x in sd.anchors(np.frombuffer(t.encode(), np.uint8))[1] if t.index("|") < x < len(t) - 121}) for d, t in rows}
+    places = spark.createDataFrame(list(at.items()), "row long, places array<bigint>")
+    sent = sd.contexts(df.join(places.coalesce(1), "row").coalesce(1)).collect()
+    whole = [bytes(r.context) for r in sent if r.context is not None and bytes(r.context) in passage.encode()]
+    assert any(r.context is None for r in sent) and len(whole) < len(sent) / 4
+    monkeypatch.setattr(sd, "REMEMBERED", 2)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_query_columns(spark):
     from terrapath.llm.queries import QUERIES
 
