@@ -218,14 +218,14 @@ def place_supports(hw: Hardware, x: np.ndarray, z: np.ndarray, slopes: tuple[flo
 
 
 def place_supports_by_graph(hw: Hardware, x: np.ndarray, z: np.ndarray, slopes: tuple[float, float], start_h: float, beam: int) -> tuple[int, list[int]] | None:
-    """Alternative: nodes are places with support heights, arcs feasible spans; the farthest end reached, then the
-    cheapest supports (taller ones cost more)."""
+    """Alternative: nodes are places with support heights, arcs feasible spans under the pull of the line laid before them;
+    the farthest end reached, then the cheapest supports (taller ones cost more)."""
     c = hw.c
     heights = np.arange(c.support_min_m, c.support_max_m + 1e-9, c.support_step_m).tolist()
     stride = max(1, int(c.support_distance_m / max(x[1] - x[0], 1e-9)) // 2)
-    queue, seen, best = [(0.0, 0, start_h, 0, (), None)], {}, None
+    queue, seen, best = [(0.0, 0, start_h, 0, (), 0.0, None)], {}, None
     while queue:
-        cost, at, height, used, supports, slope = heapq.heappop(queue)
+        cost, at, height, used, supports, laid, slope = heapq.heappop(queue)
         if seen.get((at, height, used), math.inf) <= cost:
             continue
         seen[at, height, used] = cost
@@ -234,7 +234,7 @@ def place_supports_by_graph(hw: Hardware, x: np.ndarray, z: np.ndarray, slopes:
                 break
             if x[j] < c.length_min_m or best and (j < best[0] or j == best[0] and cost >= best[1]):
                 continue
-            if hw.span(x, z, at, j, height, c.terminal_m, slopes, 0.0, slope):
+            if hw.span(x, z, at, j, height, c.terminal_m, slopes, laid, slope):
                 best = (j, cost, supports)
                 break
         if used == c.supports_max:
@@ -243,8 +243,8 @@ def place_supports_by_graph(hw: Hardware, x: np.ndarray, z: np.ndarray, slopes:
             if x[j] - x[at] < max(c.span_min_m, c.support_distance_m):
                 continue
             for hj in heights:
-                if s := hw.span(x, z, at, j, height, hj, slopes, 0.0, slope):
-                    heapq.heappush(queue, (cost + 1 + (hj / c.support_max_m) ** 2, j, hj, used + 1, (*supports, j), s.slope))
+                if s := hw.span(x, z, at, j, height, hj, slopes, laid, slope):
+                    heapq.heappush(queue, (cost + 1 + (hj / c.support_max_m) ** 2, j, hj, used + 1, (*supports, j), laid + s.length, s.slope))
     return (best[0], list(best[2])) if best else None
 
 
