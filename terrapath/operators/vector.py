@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import few, written
 
 
 def segments(lines: DataFrame, vertices: str = "vertices") -> DataFrame:
@@ -198,14 +198,61 @@ def spread_buckets(df: DataFrame, x_low: Column, x_high: Column, y_low: Column,
     return df.withColumn("__bx", F.explode(F.sequence(at(x_low), at(x_high)))).withColumn("__by", F.explode(F.sequence(at(y_low), at(y_high))))
 
 
-def within(points: DataFrame, segs: DataFrame, distance: float) -> DataFrame:
-    """points (x, y, ...) that lie within a distance of any segment."""
-    p = numbered(points)
-    a = p.withColumns({"__bx": F.floor(F.col("x") / distance).cast("long"), "__by": F.floor(F.col("y") / distance).cast("long")})
+def stepping(segs: DataFrame, side: float, *keep: str) -> DataFrame:
+    """keep plus (__cx, __cy): squares of a side that segments (x0, y0, x1, y1) pass, by points on them at most a side
+    apart. A square may be left out, but none is given that the segment does not touch."""
+    length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    n = F.ceil(length / side).cast("int") + 1
+    t = segs.where(length < math.inf).select(*keep, "x0", "y0", "x1", "y1", n.alias("__n"))
+    t = t.select(*keep, "x0", "y0", "x1", "y1", "__n", F.explode(F.sequence(F.lit(0), F.col("__n"))).alias("__i"))
+    at = lambda a, b: F.floor((F.col(a) + F.col("__i") / F.col("__n") * (F.col(b) - F.col(a))) / side)
+    return t.select(*keep, at("x0", "x1").alias("__cx"), at("y0", "y1").alias("__cy"))
+
+
+#: A square's side as share of a distance: its diagonal is 0.99 of it, so what is in a square that a segment touches is near.
+SURE = 0.7
+
+
+def within(points: DataFrame, segs: DataFrame, distance: float, squared: bool = False) -> DataFrame:
+    """points (x, y, ...) that lie within a distance of any segment; `squared` compares squares, as nearest_within does.
+
+    Points in a square that a segment passes, or in one that is near enough to such a square, are near without a
+    comparison, so crowded places cost no pairs; only the others meet the segments around them."""
+    sure = SURE * distance
+    passed = few(written(stepping(segs, sure).distinct(), "passed"))
+    p = points.withColumns({"__cx": F.floor(F.col("x") / sure), "__cy": F.floor(F.col("y") / sure)})
+    p = p.where(~F.isnan("x") & ~F.isnan("y"))
+    known = p.join(passed, ["__cx", "__cy"], "left_semi").select(*points.columns)
+    rest = numbered(p.join(passed, ["__cx", "__cy"], "left_anti").select(*points.columns))
+    if not rest.limit(1).count():
+        return known
+    # the same by squares of an eighth: all of one is near to all of the other if their middles and half diagonals say so
+    fine = distance / 8
+    ring = [(i, j) for i in range(-8, 9) for j in range(-8, 9) if math.hypot(i, j) + math.sqrt(2) <= 0.99 * 8]
+    square = {"__qx": F.floor(F.col("x") / fine), "__qy": F.floor(F.col("y") / fine)}
+    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring]))
+    around = rest.select(*[c.alias(k) for k, c in square.items()]).distinct().withColumn("__o", offsets)
+    around = around.select("__qx", "__qy", (F.col("__qx") + F.col("__o.i")).alias("__cx"), (F.col("__qy") + F.col("__o.j")).alias("__cy"))
+    passed = few(written(stepping(segs, fine).distinct(), "passed"))
+    sure = few(written(around.join(passed, ["__cx", "__cy"], "left_semi").select("__qx", "__qy").distinct(), "near"))
+    q = rest.withColumns(square)
+    known = known.unionByName(q.join(sure, ["__qx", "__qy"], "left_semi").select(*points.columns))
+    rest = written(q.join(sure, ["__qx", "__qy"], "left_anti").drop("__qx", "__qy"), "rest")
+    a = rest.withColumns({"__bx": F.floor(F.col("x") / distance).cast("long"), "__by": F.floor(F.col("y") / distance).cast("long")})
+    places = few(written(a.select("__bx", "__by").distinct(), "places"))
     low, high = lambda u, v: F.least(F.col(u), F.col(v)) - distance, lambda u, v: F.greatest(F.col(u), F.col(v)) + distance
     b = spread_buckets(segs.select("x0", "y0", "x1", "y1"), low("x0", "x1"), high("x0", "x1"), low("y0", "y1"), high("y0", "y1"), distance)
-    near = point_segment(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= distance
-    return a.join(b, ["__bx", "__by"]).where(near).select(*points.columns, "__id").dropDuplicates(["__id"]).drop("__id")
+    b = b.join(places, ["__bx", "__by"], "left_semi")
+    gap = point_segment(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    near = F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2) <= distance * distance if squared else gap <= distance
+    hit = a.join(b, ["__bx", "__by"]).where(near).select("__id").distinct()
+    return known.unionByName(rest.join(hit, "__id", "left_semi").select(*points.columns))
+
+
+def near_points(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
+    """points (x, y, ...) with a target (tx, ty) within a distance."""
+    spots = targets.select(F.col("tx").alias("x0"), F.col("ty").alias("y0"), F.col("tx").alias("x1"), F.col("ty").alias("y1"))
+    return within(points, spots, distance, squared=True)
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, distance: float, key: str = "node") -> DataFrame:
