@@ -331,14 +331,27 @@ def points_along(lines: DataFrame, spacing: float, vertices: str = "vertices") -
 
 
 def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices: str = "vertices") -> DataFrame:
-    """lines that come within a distance of any of the others, or cross one."""
-    own = numbered(lines)
+    """lines that come within a distance of any of the others, or cross one.
+
+    Lines that pass a square another one passes are near without a comparison, as in `within`; only the rest are
+    compared."""
+    own, sure = numbered(lines), SURE * distance
     a = segments(own, vertices).select("__id", "x0", "y0", "x1", "y1")
+    passed = few(written(stepping(segments(others, vertices), sure).distinct(), "passed"))
+    known = written(stepping(a, sure, "__id").join(passed, ["__cx", "__cy"], "left_semi").select("__id").distinct(), "known")
+    a = a.join(few(known), "__id", "left_anti")
     b = segments(others, vertices).select(*[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    side = 4 * distance
     low, high = lambda u, v, d: F.least(F.col(u), F.col(v)) - d, lambda u, v, d: F.greatest(F.col(u), F.col(v)) + d
-    p = spread_buckets(a, low("x0", "x1", 0), high("x0", "x1", 0), low("y0", "y1", 0), high("y0", "y1", 0), side)
-    q = spread_buckets(b, low("ox0", "ox1", distance), high("ox0", "ox1", distance), low("oy0", "oy1", distance), high("oy0", "oy1", distance), side)
+
+    def buckets(df: DataFrame, names: tuple[str, ...], d: float) -> DataFrame:
+        x0, y0, x1, y1 = names
+        t = spread_buckets(df, low(x0, x1, d), high(x0, x1, d), low(y0, y1, d), high(y0, y1, d), distance)
+        return t.where(crosses_box(*[F.col(k) for k in names], F.col("__bx") * distance - d, F.col("__by") * distance - d, distance + 2 * d))
+
+    # a hair's breadth for each line's own squares, against rounding on their borders
+    q = buckets(b, ("ox0", "oy0", "ox1", "oy1"), 1.01 * distance)
+    places = few(written(q.select("__bx", "__by").distinct(), "places"))
+    p = buckets(a, ("x0", "y0", "x1", "y1"), 0.01 * distance).join(places, ["__bx", "__by"], "left_semi")
     c = {k: F.col(k) for k in ("x0", "y0", "x1", "y1", "ox0", "oy0", "ox1", "oy1")}
 
     def turns(ax, ay, bx, by, px, py):
@@ -347,7 +360,9 @@ def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices:
     crosses = (turns("x0", "y0", "x1", "y1", "ox0", "oy0") * turns("x0", "y0", "x1", "y1", "ox1", "oy1") < 0) & (turns("ox0", "oy0", "ox1", "oy1", "x0", "y0") * turns("ox0", "oy0", "ox1", "oy1", "x1", "y1") < 0)
     mine, other = [c[k] for k in ("x0", "y0", "x1", "y1")], [c[k] for k in ("ox0", "oy0", "ox1", "oy1")]
     gap = F.least(point_segment(c["x0"], c["y0"], *other), point_segment(c["x1"], c["y1"], *other), point_segment(c["ox0"], c["oy0"], *mine), point_segment(c["ox1"], c["oy1"], *mine))
-    hit = p.join(q, ["__bx", "__by"]).where(crosses | (gap <= distance)).select("__id").distinct()
+    apart = lambda u0, u1, v0, v1: (F.greatest(u0, u1) + 1.01 * distance < F.least(v0, v1)) | (F.greatest(v0, v1) + 1.01 * distance < F.least(u0, u1))
+    met = ~apart("x0", "x1", "ox0", "ox1") & ~apart("y0", "y1", "oy0", "oy1")
+    hit = p.join(q, ["__bx", "__by"]).where(F.when(met, crosses | (gap <= distance)).otherwise(False)).select("__id").union(known).distinct()
     return own.join(hit, "__id", "left_semi").drop("__id")
 
 

@@ -39,3 +39,25 @@ def test_points_beside_a_crowd_are_settled_by_squares(spark, monkeypatch):
     crowd = spark.range(500).selectExpr("id", "1.0 + id / 1000 AS x", "IF(id < 499, 2.2D, 4.1D) AS y")
     assert vector.within(crowd, segs(spark, [(0.0, 0.05, 9.0, 0.05)] * 50), 3).count() == 499
     assert left == [1]
+
+
+def test_lines_compare_only_what_no_other_passes(spark, monkeypatch):
+    g = random.Random(5)
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    kind = "id long, vertices array<struct<x:double,y:double>>"
+    lines = [(i, [p(g.uniform(-60, 60), g.uniform(-60, 60)) for _ in range(2)]) for i in range(150)] + [(150, [p(0, 3), p(9, 3)]), (151, [p(0, -9), p(9, -9)])]
+    some = [(i, [p(g.uniform(-20, 20), g.uniform(-20, 20)) for _ in range(2)]) for i in range(6)] + [(9, [p(0, 0), p(9, 0)])]
+    flat = lambda v: tuple(q[k] for q in v for k in ("x", "y"))
+
+    def near(a, b):
+        turn = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
+        crossed = turn(a, *b[:2]) * turn(a, *b[2:]) < 0 and turn(b, *a[:2]) * turn(b, *a[2:]) < 0
+        return crossed or min(gap(*a[:2], b), gap(*a[2:], b), gap(*b[:2], a), gap(*b[2:], a)) <= 3
+
+    want = [i for i, v in lines if any(near(flat(v), flat(w)) for _, w in some)]
+    assert sorted(r.id for r in vector.lines_within(spark.createDataFrame(lines, kind), spark.createDataFrame(some, kind), 3).collect()) == want
+    met = []
+    monkeypatch.setattr(vector, "spread_buckets", lambda df, *a, real=vector.spread_buckets: met.append(df) or real(df, *a))
+    crowd = spark.createDataFrame([(i, [p(0, i / 1000), p(9, i / 1000)]) for i in range(100)], kind)
+    assert vector.lines_within(crowd, crowd.limit(50), 3).count() == 100
+    assert met[1].count() == 0
