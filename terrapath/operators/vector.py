@@ -6,9 +6,13 @@ meet in, join on bucket equality and test exactly; a bucket is as wide as the la
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import few, written
 
@@ -265,15 +269,67 @@ def nearest_within(points: DataFrame, targets: DataFrame, distance: float, key:
     return p.join(hit, "__id", "left").select(*points.columns, F.col(f"b.{key}").alias(key), F.sqrt("b.d2").alias("distance"))
 
 
-def nearest_any(points: DataFrame, targets: DataFrame, first: float, key: str = "node") -> DataFrame:
-    """nearest_within with a radius that doubles for the points still without a target, until all have one."""
-    if not targets.limit(1).count():
-        return points.withColumns({key: F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
-    done, left, radius = None, points, first
+def nearest_of(points: np.ndarray, targets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, squared distance) of the nearest target to each point, ties to the smaller key.
+
+    Points are halved until few are left; at each halving only targets that can be the nearest to a point in their box
+    stay."""
+    key, square = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+    todo = [(np.arange(len(points)), np.arange(len(targets)))]
+    while todo:
+        own, near = todo.pop()
+        p, t = points[own], targets[near]
+        low, high = p.min(axis=0), p.max(axis=0)
+        least = (np.maximum(np.maximum(low - t, t - high), 0) ** 2).sum(axis=1)
+        most = (np.maximum(np.abs(t - low), np.abs(t - high)) ** 2).sum(axis=1).min()
+        near = near[least <= most * (1 + 1e-9)]
+        if len(own) > 32 and len(own) * len(near) > 4096 and (high > low).any():
+            axis = int(np.argmax(high - low))
+            half = len(own) // 2
+            parts = np.argpartition(p[:, axis], half)
+            todo += [(own[parts[:half]], near), (own[parts[half:]], near)]
+            continue
+        near = near[np.argsort(keys[near], kind="stable")]
+        t = targets[near]
+        block = max(1, (1 << 20) // len(near))
+        for i in range(0, len(own), block):
+            some = own[i : i + block]
+            d2 = (points[some, 0][:, None] - t[:, 0]) ** 2 + (points[some, 1][:, None] - t[:, 1]) ** 2
+            first = d2.argmin(axis=1)
+            key[some], square[some] = keys[near][first], d2[np.arange(len(some)), first]
+    return key, square
+
+
+def nearest_any(points: DataFrame, targets: DataFrame, first: float, key: str = "node", most: int = 48 << 20) -> DataFrame:
+    """points plus the key of the nearest target and its distance, ties to the smaller key; null without any target.
+
+    Targets at one place count once, as the smallest key. If their bytes (at most `most`) let each task hold them, each
+    batch of points meets those that can be nearest; else nearest_within runs with a radius that doubles for the points
+    still without a target, until all have one."""
+    spots = written(targets.where("tx is not null and ty is not null and not isnan(tx) and not isnan(ty)").groupBy("tx", "ty").agg(F.min(key).cast("long").alias(key)), "spots")
+    n = spots.count()
+    none = {key: F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}
+    placed = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    if not n:
+        return points.withColumns(none)
+    lost = points.where(f"not ({placed})").withColumns(none)
+    if 24 * n <= most:
+        held = spots.toPandas()
+        near = spots.sparkSession.sparkContext.broadcast((held[["tx", "ty"]].to_numpy(float), held[key].to_numpy(np.int64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, keys = near.value
+            for b in batches:
+                if len(b):
+                    k, d2 = nearest_of(b[["x", "y"]].to_numpy(float), at, keys)
+                    yield b.assign(**{key: k, "distance": np.sqrt(d2)})
+
+        kind = T.StructType([*points.schema.fields, T.StructField(key, T.LongType()), T.StructField("distance", T.DoubleType())])
+        return points.where(placed).mapInPandas(run, kind).unionByName(lost)
+    done, left, radius = lost, points.where(placed), first
     while True:
-        got = written(nearest_within(left, targets, radius, key), "nearest")
-        hit = got.where(F.col("distance").isNotNull())
-        done = hit if done is None else done.unionByName(hit)
+        got = written(nearest_within(left, spots, radius, key), "nearest")
+        done = done.unionByName(got.where(F.col("distance").isNotNull()))
         left = got.where(F.col("distance").isNull()).select(*points.columns)
         if not left.limit(1).count():
             return done

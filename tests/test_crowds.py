@@ -61,3 +61,18 @@ def test_lines_compare_only_what_no_other_passes(spark, monkeypatch):
     crowd = spark.createDataFrame([(i, [p(0, i / 1000), p(9, i / 1000)]) for i in range(100)], kind)
     assert vector.lines_within(crowd, crowd.limit(50), 3).count() == 100
     assert met[1].count() == 0
+
+
+def test_far_points_find_their_nearest_in_one_pass(spark, monkeypatch):
+    g = random.Random(7)
+    spots = [(g.randrange(1000), float(g.randrange(20)), float(g.randrange(6))) for _ in range(400)] + [(1001, None, 1.0)]
+    points = [(i, g.uniform(-10, 30) * 10 ** g.randrange(4), float(g.randrange(-3, 9))) for i in range(500)] + [(500, 2.5, 2.5), (501, None, 2.0), (502, 1e6, 1e6)]
+    want = {}
+    for i, x, y in points:
+        want[i] = min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in spots if a is not None)[::-1] if x is not None else (None, None)
+    p, t = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(spots, "node long, tx double, ty double")
+    for most in (48 << 20, 0):
+        got = {r.id: (r.node, r.distance) for r in vector.nearest_any(p, t, 8.0, most=most).collect()}
+        assert got == {i: (k, d and math.sqrt(d)) for i, (k, d) in want.items()}
+    monkeypatch.setattr(vector, "nearest_within", None)  # no rounds: the targets are few
+    assert vector.nearest_any(p, t, 8.0).count() == len(points)
