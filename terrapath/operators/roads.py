@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import Alignment
+from ..sources.scratch import written
 from . import alignment, algebra, vector
 from .neighbours import sample
 from .rays import straight_rays, template
@@ -152,23 +153,16 @@ def landings(tracks: DataFrame, cells: DataFrame, res: float, width_min: float =
     w = F.col(width) if width else F.lit(None).cast("double")
     t = tracks.withColumn("__w", w).where(F.col("__w").isNull() | (F.col("__w") >= width_min))
     access = F.when(F.col("__w").isNotNull(), "width").when(F.coalesce("fire", F.lit(False)), "fire").when(F.col("class").isNotNull(), F.concat(F.lit("class:"), "class")).otherwise("unknown")
-    p = vector.points_along(t.withColumn("access", access), spacing)
-    p = p.withColumns({"__a": F.greatest(F.col("at_m") - window / 2, F.lit(0.0)), "__b": F.least(F.col("at_m") + window / 2, F.col("line_m"))})
-
-    ends = {}
-    for end in ("__a", "__b"):
-        xy = vector.point_at(p.select("id", "at_m", "vertices", F.col(end).alias("__d")), F.col("__d")).drop("vertices", "__d")
-        ends[end] = sample(cells, xy, "z", res).select("id", "at_m", F.col("z").alias(f"z{end}"))
-    t = p.join(ends["__a"], ["id", "at_m"]).join(ends["__b"], ["id", "at_m"])
-    d = F.col("__b") - F.col("__a")
-    t = t.withColumn("grade_pct", F.when(d > 0, 100 * F.abs(F.col("z__b") - F.col("z__a")) / d)).where(F.col("grade_pct") <= grade_max_pct)
-
+    p = vector.places_along(t.select("id", access.alias("access"), "vertices"), spacing, window / 2)
+    for end in ("a", "b"):
+        p = sample(cells, p.withColumnsRenamed({f"{end}_x": "x", f"{end}_y": "y"}), "z", res).withColumnRenamed("z", f"z_{end}").drop("x", "y")
+    d = F.col("b_m") - F.col("a_m")
+    p = p.withColumn("grade_pct", F.when(d > 0, 100 * F.abs(F.col("z_b") - F.col("z_a")) / d)).where(F.col("grade_pct") <= grade_max_pct)
+    out = p.select("id", "at_m", "access", "grade_pct", "x_m", "y_m")
     if forest_max_m is not None:
-        here = vector.point_at(t.select("id", "at_m", "vertices"), F.col("at_m")).drop("vertices")
-        trees = cells.where("forest").select(((F.col("c") + 0.5) * res).alias("tx"), ((F.col("r") + 0.5) * res).alias("ty"), F.col("cell").alias("tree"))
-        near = vector.nearest_within(here, trees, forest_max_m, "tree").where("tree is not null").select("id", "at_m")
-        t = t.join(near, ["id", "at_m"], "left_semi")
-    out = t.select("id", "at_m", "access", "grade_pct")
+        trees = cells.where("forest").select(((F.col("c") + 0.5) * res).alias("tx"), ((F.col("r") + 0.5) * res).alias("ty"))
+        out = vector.near_points(written(out.withColumnsRenamed({"x_m": "x", "y_m": "y"}), "places"), trees, forest_max_m)
+    out = out.select("id", "at_m", "access", "grade_pct")
     if check and not out.limit(1).count():
         raise ValueError("no place is left: loosen the width, the grade or the distance to forest")
     return out

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -386,6 +388,45 @@ def points_along(lines: DataFrame, spacing: float, vertices: str = "vertices") -
     return t.withColumn("at_m", F.col("line_m") * (F.col("__i") + 0.5) / F.col("__n")).drop("__n", "__i")
 
 
+def places_along(lines: DataFrame, spacing: float, around: float, vertices: str = "vertices") -> DataFrame:
+    """lines without their vertices, a row per point of points_along: at_m with x_m, y_m there, and a_m, b_m, a_x, a_y,
+    b_x, b_y a distance before and after, clamped to the line. Lines of one point are left out.
+
+    A line's lengths are summed up once and its places looked up in them; its vertices are in no row."""
+    names = [c for c in lines.columns if c != vertices]
+    made = ["at_m", "x_m", "y_m", "a_m", "a_x", "a_y", "b_m", "b_x", "b_y"]
+    kind = T.StructType([*[lines.schema[c] for c in names], *[T.StructField(c, T.DoubleType()) for c in made]])
+    block = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(b.schema.get_field_index(vertices))
+            xs, ys = (pc.struct_field(v.values, k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y"))
+            offsets, valid = v.offsets.to_numpy(), v.is_valid().to_numpy(zero_copy_only=False)
+            plain = b.select(names)
+            for i in np.flatnonzero(valid & (np.diff(offsets) >= 2)).tolist():
+                x, y = xs[offsets[i] : offsets[i + 1]], ys[offsets[i] : offsets[i + 1]]
+                dx, dy = np.diff(x), np.diff(y)
+                step = np.sqrt(dx * dx + dy * dy)
+                ends = np.cumsum(step)
+                starts, line = np.concatenate([[0.0], ends[:-1]]), float(ends[-1])
+                if not math.isfinite(line):
+                    continue
+                n = max(math.ceil(line / spacing), 1)
+                for first in range(0, n, block):
+                    at = line * (np.arange(first, min(n, first + block)) + 0.5) / n
+                    cols = []
+                    for d in (at, np.maximum(at - around, 0.0), np.minimum(at + around, line)):
+                        here = np.minimum(np.maximum(d, 0.0), line)
+                        k = np.searchsorted(starts, here, side="right") - 1
+                        t = np.where(step[k] > 0, np.minimum((here - starts[k]) / np.where(step[k] > 0, step[k], 1.0), 1.0), 0.0)
+                        cols += [d, x[k] + t * dx[k], y[k] + t * dy[k]]
+                    own = plain.take(pa.array(np.full(len(at), i)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c) for c in cols]], names=[*names, *made])
+
+    return lines.mapInArrow(run, kind)
+
+
 def lines_within(lines: DataFrame, others: DataFrame, distance: float, vertices: str = "vertices") -> DataFrame:
     """lines that come within a distance of any of the others, or cross one.
 

@@ -76,3 +76,27 @@ def test_far_points_find_their_nearest_in_one_pass(spark, monkeypatch):
         assert got == {i: (k, d and math.sqrt(d)) for i, (k, d) in want.items()}
     monkeypatch.setattr(vector, "nearest_within", None)  # no rounds: the targets are few
     assert vector.nearest_any(p, t, 8.0).count() == len(points)
+
+
+def test_landings_carry_no_vertices(spark, monkeypatch):
+    """As many points as the lines are long, each found as by point_at; no plan beyond the first step holds a line."""
+    from terrapath.operators import roads
+
+    g = random.Random(11)
+    p = lambda x, y: {"x": float(x), "y": float(y)}
+    kind = "id long, vertices array<struct<x:double,y:double>>"
+    lines = [(i, [p(g.uniform(0, 60), g.uniform(0, 60)) for _ in range(g.randrange(1, 9))]) for i in range(40)] + [(40, None), (41, [p(1, 1), p(1, 1), p(4, 5)])]
+    df = spark.createDataFrame(lines, kind)
+    got = vector.places_along(df, 7, 3)
+    base = vector.points_along(df.where("size(vertices) >= 2"), 7).selectExpr("*", "greatest(at_m - 3, 0D) AS a_m", "least(at_m + 3, line_m) AS b_m")
+    want = {(r.id, r.at_m, r.a_m, r.b_m) for r in base.collect()}
+    assert {(r.id, r.at_m, r.a_m, r.b_m) for r in got.collect()} == want and len(want) == got.count()
+    for end in ("at", "a", "b"):
+        at = "x_m, y_m" if end == "at" else f"{end}_x, {end}_y"
+        places = vector.point_at(base, base[f"{end}_m"]).select("id", "at_m", "x", "y").collect()
+        assert sorted(map(tuple, got.selectExpr("id", "at_m", *at.split(", ")).collect())) == sorted(map(tuple, places))
+    cells = spark.range(400).selectExpr("id AS cell", "id div 20 AS r", "id % 20 AS c", "CAST(id % 3 AS DOUBLE) AS z", "id % 7 = 0 AS forest")
+    monkeypatch.setattr(vector, "point_at", None)
+    monkeypatch.setattr(vector, "points_along", None)
+    out = roads.landings(df.selectExpr("*", "'track' AS class", "false AS fire"), cells, 5.0, grade_max_pct=50, window=6, spacing=7, forest_max_m=9)
+    assert 0 < out.count() < len(want)
