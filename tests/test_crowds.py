@@ -100,3 +100,24 @@ def test_landings_carry_no_vertices(spark, monkeypatch):
     monkeypatch.setattr(vector, "points_along", None)
     out = roads.landings(df.selectExpr("*", "'track' AS class", "false AS fire"), cells, 5.0, grade_max_pct=50, window=6, spacing=7, forest_max_m=9)
     assert 0 < out.count() < len(want)
+
+
+def test_lines_of_a_batch_are_solved_together(monkeypatch):
+    """The same lines as one by one, with far fewer solver calls than spans."""
+    import numpy as np
+
+    from terrapath.functions.config import Cable
+    from terrapath.operators import cable
+
+    g = np.random.default_rng(2)
+    hw = cable.Hardware(Cable(length_max_m=220, length_min_m=60, span_min_m=30))
+    x = np.arange(0, 200, 5.0)
+    lines = [0.3 * x + 6 * np.sin(x / g.uniform(10, 40)) + g.uniform(0, 1, len(x)) for _ in range(24)]
+    one = [cable.settled(hw, [cable.line_of(hw, x, z, 3)])[0] for z in lines]
+    calls, spans = [], []
+    real = hw.spans
+    monkeypatch.setattr(hw, "spans", lambda asked: calls.append(1) or spans.extend(asked) or real(asked))
+    assert cable.settled(hw, [cable.line_of(hw, x, z, 3) for z in lines]) == one and any(one)
+    assert len(calls) * 3 < len(spans)
+    lo, th, tv, ok = hw.at_full_tensions(np.array([90.0, 150.0]), np.array([20.0, 3.0]), np.array([0.0, 40.0]))
+    assert ok.all() and np.all(np.abs(np.hypot(th, tv) - hw.tmax) <= 50)
