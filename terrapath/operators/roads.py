@@ -103,32 +103,17 @@ def improve(cells: DataFrame, parcels: DataFrame, p: Alignment, how: str, res: f
 
 
 def steiner(cells: DataFrame, parcels: DataFrame, p: Alignment, res: float = 5.0, columns: int = 50) -> DataFrame:
-    """Costs of all pairs of terminals (the road network is terminal 0), a task per terminal; the order of a minimum
-    spanning tree; then each terminal joined to the growing network in that order. Terminals out of reach stay out."""
-    spark = cells.sparkSession
-    n = parcels.count()  # terminals are few: their pairs are solved one by one
-    work = spark.createDataFrame([(i,) for i in range(n)], "key long") if n else spark.createDataFrame([], "key long")
+    """The order of a minimum spanning tree of the terminals (the road network is one); then each terminal joined to the
+    growing network in that order. Terminals out of reach stay out. One pair after another by nature, so a single task."""
+    work = cells.sparkSession.createDataFrame([(0,)], "key long")
 
-    def costs(win, parc, i):
-        g, origin, roads = ground_of(win, res)
-        _, at, _ = local(parc, origin)
-        out = []
-        for j in range(int(i), len(at) + 1):
-            r = alignment.route(g, [at[int(i)]], roads if j == int(i) else [at[j - 1]], p) if j == int(i) or j - 1 > int(i) else None
-            if r is not None:
-                out.append((int(i) + 1, 0 if j == int(i) else j, r.cost))
-        return pd.DataFrame(out, columns=["a", "b", "cost"])
-
-    pair = {(r.b, r.a) if r.b < r.a else (r.a, r.b): r.cost for r in solve_windows(cells, parcels, work, costs, "a long, b long, cost double").collect()}
-    order = [i - 1 for i in alignment.prim(n + 1, pair) if i]
-
-    def build(win, parc, _):
+    def task(win, parc, _):
         g, origin, roads = ground_of(win, res)
         ids, at, _ = local(parc, origin)
-        net = alignment.greedy(g, at, roads, p, order)
+        net = alignment.greedy(g, at, roads, p, alignment.spanning_order(g, at, roads, p))
         return pd.DataFrame(rows_of(net, ids, columns, origin), columns=["parcel", "built", "length_m", "cost", "cells"])
 
-    return solve_windows(cells, parcels, spark.createDataFrame([(0,)], "key long"), build, PIECES)
+    return solve_windows(cells, parcels, work, task, PIECES)
 
 
 def line_footprint(cells: DataFrame, lines: DataFrame, res: float) -> DataFrame:
