@@ -121,3 +121,27 @@ def test_lines_of_a_batch_are_solved_together(monkeypatch):
     assert len(calls) * 3 < len(spans)
     lo, th, tv, ok = hw.at_full_tensions(np.array([90.0, 150.0]), np.array([20.0, 3.0]), np.array([0.0, 40.0]))
     assert ok.all() and np.all(np.abs(np.hypot(th, tv) - hw.tmax) <= 50)
+
+
+def test_cover_streams_lines_that_all_meet(spark, monkeypatch):
+    from terrapath.operators import graph, recap
+    from terrapath.sources.scratch import written
+
+    g = random.Random(4)
+    ranked = spark.createDataFrame([(i, 0, i + 1) for i in range(300)], "depart long, azimuth int, rank long")
+    own = {i: sorted({0, *(g.randrange(60) for _ in range(4))}) for i in range(300)}
+    foot = spark.createDataFrame([(i, 0, c) for i, cells in own.items() for c in cells], "depart long, azimuth int, cell long")
+    covered, want = set(), []
+    for i in range(300):
+        if sum(c not in covered for c in own[i]) / len(own[i]) >= 0.6:
+            want.append(i)
+            covered.update(own[i])
+    real = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: written(real(e), "parts"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = recap.greedy_cover(ranked, foot, 0.6)
+        assert sorted(r.depart for r in out.collect()) == want
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
