@@ -145,3 +145,61 @@ def test_cover_streams_lines_that_all_meet(spark, monkeypatch):
         assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spans_that_hang_low_are_not_solved(monkeypatch):
+    """Every span told too low fails when solved; lines are the same, and few spans are left that fail."""
+    import numpy as np
+
+    from terrapath.functions.config import Cable
+    from terrapath.operators import cable
+
+    g = np.random.default_rng(8)
+    x = np.array([5.0 * math.hypot(k, k // 2) for k in range(44)])
+    lines = [g.uniform(-0.6, 0.6) * x + g.uniform(0, 9) * np.sin(x / g.uniform(10, 60)) + g.uniform(0, 2, len(x)) for _ in range(120)]
+    hw = cable.Hardware(Cable(length_max_m=220, length_min_m=60, span_min_m=30))
+    told = hw.hangs_low
+    low, asked = [], []
+
+    def tell(x, z, i, js, zi, zj, before):
+        out = told(x, z, i, js, zi, zj, before)
+        low.extend((x, z, i, j, zi - z[i], top - z[j], before) for j, top, k in zip(js.tolist(), zj.tolist(), out.tolist(), strict=True) if k)
+        return out
+
+    monkeypatch.setattr(hw, "hangs_low", tell)
+    real = hw.spans
+    monkeypatch.setattr(hw, "spans", lambda some: [asked.append(r) or r for r in real(some)])
+    found = cable.settled(hw, [cable.line_of(hw, x, z, 3) for z in lines])
+    assert len(low) > 500 and not any(real(low))
+    assert sum(r is None for r in asked) * 5 < len(low)
+    monkeypatch.setattr(hw, "hangs_low", lambda x, z, i, js, *_: np.zeros(len(js), bool))
+    assert cable.settled(hw, [cable.line_of(hw, x, z, 3) for z in lines]) == found and any(found)
+
+
+def test_full_tension_takes_few_solutions(monkeypatch):
+    """The lengths that halving comes to when every half is solved."""
+    import numpy as np
+
+    from terrapath.functions.config import Cable
+    from terrapath.operators import cable
+
+    g = np.random.default_rng(9)
+    n = 400
+    d, before = g.uniform(5, 700, n), g.uniform(0, 400, n) * (np.arange(n) % 3 > 0)
+    h = d * g.uniform(0, 1.5, n) * (np.arange(n) % 5 > 0)
+    hw = cable.Hardware(Cable())
+    solved = []
+    real = cable.solve_tensions
+    monkeypatch.setattr(cable, "solve_tensions", lambda lo, *a: solved.append(len(lo)) or real(lo, *a))
+    few = hw.at_full_tensions(d, h, before)
+    assert sum(solved) < 6 * n
+    solved.clear()
+    every = hw.at_full_tensions(d, h, before, math.inf)
+    assert sum(solved) > 12 * n and few[3].all()
+    assert all(np.array_equal(a, b) for a, b in zip(few, every, strict=True))
+    w, f = hw.c.carrier_kg_m * cable.G * few[0], hw.force(few[0], few[0] / 2, before)
+    at = few[1], few[2], few[0], hw.eao, w, f, few[0] / 2, d, h
+    a, b, e = cable.gaps(*at), cable.closing(*at), 1e-4 * few[1]
+    assert np.allclose(a, b[:2], atol=1e-8)
+    th, tv = ([(p - q) / (2 * e) for p, q in zip(cable.gaps(few[1] + k, few[2] + v, *at[2:]), cable.gaps(few[1] - k, few[2] - v, *at[2:]), strict=True)] for k, v in ((e, 0), (0, e)))
+    assert np.allclose([th[0], tv[0], tv[1]], b[2:], rtol=1e-5) and np.allclose(th[1], tv[0], rtol=1e-4, atol=1e-12)
