@@ -203,3 +203,96 @@ def test_full_tension_takes_few_solutions(monkeypatch):
     assert np.allclose(a, b[:2], atol=1e-8)
     th, tv = ([(p - q) / (2 * e) for p, q in zip(cable.gaps(few[1] + k, few[2] + v, *at[2:]), cable.gaps(few[1] - k, few[2] - v, *at[2:]), strict=True)] for k, v in ((e, 0), (0, e)))
     assert np.allclose([th[0], tv[0], tv[1]], b[2:], rtol=1e-5) and np.allclose(th[1], tv[0], rtol=1e-4, atol=1e-12)
+
+
+def test_lines_are_checked_by_rows(spark):
+    """As check_lines, with nulls and missing cells."""
+    import numpy as np
+
+    from terrapath.functions.config import Config
+    from terrapath.operators import rays
+
+    g = random.Random(12)
+    rows, n = [], 60
+    for src in range(150):
+        turn, z = g.choice((0, 37, 181, 350)), 0.0
+        for k in range(g.randrange(2, n)):
+            z += g.choice((-9.0, -2.0, 0.0, 2.0, 9.0))
+            if src % 3 or g.random() < 0.9:
+                rows.append((src, turn, k, 5.0 * k + k % 3, None if src % 5 == 0 and g.random() < 0.1 else z, None if g.random() < 0.02 else g.random() < 0.85, g.choice((None, 5.5, 95.2, -4.5)), g.choice((None, 10.0, 50.0)) if src % 7 else 10.0))
+    df = spark.createDataFrame(rows, "src long, az int, step int, hd double, z double, forest boolean, aspect_deg double, slope_pct double")
+    config = Config(cable=cable_of(length_max_m=250, length_min_m=40, cross_length_max_m=60, cross_share_max=0.4))
+    want = {r.src: r.cells - 1 for r in rays.check_lines(df.where("z is not null"), config).collect()}
+    wide = {x: np.full((150, n), np.nan) for x in ("hd", "z", "forest", "aspect_deg", "slope_pct")}
+    az = np.zeros(150, np.int32)
+    for src, turn, k, *values in rows:
+        az[src] = turn
+        for v, x in zip(wide.values(), values, strict=True):
+            v[src, k] = np.nan if x is None else float(x)
+    got = rays.check_rows(az, *wide.values(), config)
+    assert {k: v for k, v in enumerate(got.tolist()) if v >= 0} == want and len(want) > 30
+
+
+def cable_of(**kw):
+    from terrapath.functions.config import Cable
+
+    return Cable(**({"length_max_m": 220, "length_min_m": 60, "span_min_m": 30} | kw))
+
+
+def test_searches_of_lines_run_as_arrays(monkeypatch):
+    """The lines that one search after the other finds, for any beam, without a search per line."""
+    import numpy as np
+
+    from terrapath.operators import cable
+
+    g = np.random.default_rng(3)
+    n = g.integers(2, 45, 150)
+    x, z = np.zeros((150, 45)), np.full((150, 45), 7.0)
+    for k, m in enumerate(n.tolist()):
+        x[k, :m] = np.cumsum(np.append(0, g.uniform(3, 7, m - 1)))
+        z[k, :m] = g.uniform(-0.6, 0.6) * x[k, :m] + g.uniform(0, 9) * np.sin(x[k, :m] / g.uniform(10, 60)) + g.uniform(0, 2, m)
+    z[5, 3] = np.nan
+    for kw, precision in (({}, 3), ({}, 2), ({"direction": 1, "machine": 3}, 3), ({"line_max_m": 14.0, "support_angle_deg": 6.0}, 2)):
+        hw = cable.Hardware(cable_of(**kw))
+        want = cable.settled(hw, [cable.line_of(hw, x[k, :m], z[k, :m], precision) for k, m in enumerate(n.tolist())])
+        with monkeypatch.context() as m:
+            m.setattr(cable, "settled", None)
+            assert cable.lines_of(hw, x, z, n, precision) == want and any(want)
+        assert kw or any(w and w[1] for w in want)
+
+
+def test_scan_holds_windows_not_rows_of_rays(spark):
+    """Lines and cover of a grid with holes over many tiles, as from rows of rays; the plan has none of them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from terrapath.functions.config import Config
+    from terrapath.operators import cable, rays, terrain
+
+    g = random.Random(6)
+    wide = 70
+    cells = [(r * wide + c, r, c, 100 + 0.9 * r + 0.6 * c + g.random() * 2, g.random() < 0.8, None if g.random() < 0.1 else 2.0 * g.randrange(9)) for r in range(wide) for c in range(wide) if (r, c) != (35, 35) and g.random() < 0.99]
+    df = spark.createDataFrame(cells, "cell long, r long, c long, z double, forest boolean, volume double")
+    df = terrain.slope_aspect(df, "z", 5.0)
+    starts = df.where("cell % 97 = 2").selectExpr("cell AS src", "r AS r0", "c AS c0", "z AS z0", "0D AS start")
+    config = Config(cable=cable_of(cross_slope_max_pct=60, precision=2))
+    az = [0, 45, 100, 133, 270, 311]
+    lines, cover = cable.scan(df, starts, config, 5.0, az)
+    plan = lines._jdf.queryExecution().toString() + cover._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Join" not in plan
+    layers = ["z", "forest", "aspect_deg", "slope_pct", "volume"]
+    t = rays.along_rays(df, starts, rays.template(spark, [(a, 0, 0, 0, 0.0) for a in az] + rays.straight_rays(5.0, 220, az)), layers)
+    t = t.join(rays.check_lines(t.where("z is not null"), config).select("src", "az", "cells"), ["src", "az"]).where("step < cells")
+    hw, want, best = cable.Hardware(config.cable), {}, {}
+    rows = t.groupBy("src", "az").agg(F.array_sort(F.collect_list(F.struct("step", "hd", "z", "cell", "forest", "volume"))).alias("p")).collect()
+    for src, a, p in sorted(map(tuple, rows)):
+        x, z = np.array([q.hd for q in p]), np.array([q.z for q in p])
+        f = cable.settled(hw, [cable.line_of(hw, x, z, 2)])[0]
+        under = [q for q in p[: f[0] + 1] if q.forest] if f else []
+        if under:
+            want[src, a] = (x[f[0]], len(f[1]), f[2], f[1], round(len(under) * 0.0025, 6), round(sum(q.volume or 0 for q in under) * 0.0025, 6))
+            for q in under:
+                best[q.cell] = max(best.get(q.cell, (0,)), (x[f[0]], -src, -a))
+    got = {(r.depart, r.azimuth): (r.length_m, r.supports, r.direction, r.support_steps, round(r.surface_ha, 6), round(r.volume_m3, 6)) for r in lines.collect()}
+    assert got == want and len(want) > 50 and any(len(x[3]) for x in want.values())
+    assert {r.cell: (r.length_m, -r.depart, -r.azimuth) for r in cover.collect()} == best
