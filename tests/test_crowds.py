@@ -296,3 +296,41 @@ def test_scan_holds_windows_not_rows_of_rays(spark):
     got = {(r.depart, r.azimuth): (r.length_m, r.supports, r.direction, r.support_steps, round(r.surface_ha, 6), round(r.volume_m3, 6)) for r in lines.collect()}
     assert got == want and len(want) > 50 and any(len(x[3]) for x in want.values())
     assert {r.cell: (r.length_m, -r.depart, -r.azimuth) for r in cover.collect()} == best
+
+
+def test_components_end_in_one_task(spark, monkeypatch):
+    """Rounds stop as soon as one task can hold what is left."""
+    from terrapath.operators import graph
+
+    g = random.Random(14)
+    e = spark.createDataFrame([(a, a + 1 if g.random() < 0.9 else g.randrange(900)) for a in range(900)] + [(2000, 2000)], "a long, b long")
+    steps = []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: steps.append(name) or real(df, name))
+    found = []
+    for local in (0, 400, 10_000):
+        steps.clear()
+        found.append((sorted(map(tuple, graph.components(e, local=local).collect())), steps.count("hook")))
+    assert found[0][0] == found[1][0] == found[2][0] and len(found[0][0]) == 902
+    assert found[0][1] > found[1][1] > found[2][1] == 0
+
+
+def test_cover_takes_lines_with_their_cells(spark):
+    """As from a row per cell; the scan gives the cells that the footprint of its lines has."""
+    from pyspark.sql import functions as F
+
+    from terrapath.functions.config import Config, Selection
+    from terrapath.operators import cable, recap, roads, terrain
+
+    g = random.Random(15)
+    cells = [(r * 40 + c, r, c, 100 + 0.9 * r + 0.6 * c + g.random() * 2, g.random() < 0.8, float(g.randrange(9))) for r in range(60) for c in range(40) if g.random() < 0.99]
+    df = terrain.slope_aspect(spark.createDataFrame(cells, "cell long, r long, c long, z double, forest boolean, volume double"), "z", 5.0)
+    starts = df.where("cell % 50 = 2").selectExpr("cell AS src", "r AS r0", "c AS c0", "z AS z0", "0D AS start")
+    lines, _ = cable.scan(df, starts, Config(cable=cable_of(cross_slope_max_pct=60)), 5.0, list(range(0, 360, 20)), footprint=True)
+    foot = roads.line_footprint(df, lines, 5.0)
+    under = {(r.depart, r.azimuth): sorted(r.cells) for r in lines.collect()}
+    assert {(r.depart, r.azimuth): r.cells for r in foot.groupBy("depart", "azimuth").agg(F.sort_array(F.collect_list("cell")).alias("cells")).collect()} == under and len(under) > 50
+    ranked = recap.line_scores(lines.drop("cells", "support_steps"), Selection()).localCheckpoint()
+    want = sorted(r["rank"] for r in recap.greedy_cover(ranked, foot, 0.6).collect())
+    out = recap.greedy_cover(ranked, lines.select("depart", "azimuth", "cells"), 0.6)
+    assert sorted(r["rank"] for r in out.collect()) == want and 0 < len(want) < len(under)
