@@ -95,7 +95,7 @@ def improve(cells: DataFrame, parcels: DataFrame, p: Alignment, how: str, res: f
         g, origin, roads = ground_of(win, res)
         ids, at, volume = local(parc, origin)
         base = alignment.order_by(g, at, roads, "nearest", volume)
-        build = alignment.Builder(g, at, roads, p, skidding_m).build
+        build = alignment.Builder(g, at, roads, p, skidding_m)
         n, _journal = alignment.anneal(build, base, steps, heat, cooling, seed) if how == "anneal" else alignment.rip_up(build, base, passes)
         return pd.DataFrame(rows_of(n, ids, columns, origin), columns=["parcel", "built", "length_m", "cost", "cells"])
 
