@@ -91,3 +91,26 @@ def test_landings_take_all_events(spark, monkeypatch):
     monkeypatch.setattr(roads, "landings", lambda t, *a, **k: got.update(t=t) or real(t, *a, **k))
     queries()["landing_candidates"](spark, D)
     assert got["t"].selectExpr("sum(size(vertices))").first()[0] == spark.read.parquet(f"{D}/events.parquet").count()
+
+
+def asked_of_improve(spark, monkeypatch, name):
+    from inspect import signature
+
+    from terrapath.operators import roads
+
+    got, form = {}, signature(roads.improve)
+
+    def improve(*a, **k):
+        b = form.bind(*a, **k)
+        b.apply_defaults()
+        got.update(b.arguments)
+        return b.arguments["cells"]
+
+    monkeypatch.setattr(roads, "improve", improve)
+    queries()[name](spark, D)
+    return got
+
+
+def test_roads_are_ripped_up_for_all_passes_of_the_method(spark, monkeypatch):
+    got = asked_of_improve(spark, monkeypatch, "road_ripped_up")
+    assert got["how"] == "rip_up" and got["passes"] >= 6
