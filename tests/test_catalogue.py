@@ -114,3 +114,8 @@ def asked_of_improve(spark, monkeypatch, name):
 def test_roads_are_ripped_up_for_all_passes_of_the_method(spark, monkeypatch):
     got = asked_of_improve(spark, monkeypatch, "road_ripped_up")
     assert got["how"] == "rip_up" and got["passes"] >= 6
+
+
+def test_roads_are_annealed_for_all_steps_of_the_method(spark, monkeypatch):
+    got = asked_of_improve(spark, monkeypatch, "road_annealed")
+    assert got["how"] == "anneal" and got["steps"] >= 200
