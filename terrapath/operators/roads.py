@@ -110,7 +110,8 @@ def steiner(cells: DataFrame, parcels: DataFrame, p: Alignment, res: float = 5.0
     def task(win, parc, _):
         g, origin, roads = ground_of(win, res)
         ids, at, _ = local(parc, origin)
-        net = alignment.greedy(g, at, roads, p, alignment.spanning_order(g, at, roads, p))
+        b = alignment.Builder(g, at, roads, p)
+        net = b.build(alignment.spanning_order(g, at, roads, p, b))
         return pd.DataFrame(rows_of(net, ids, columns, origin), columns=["parcel", "built", "length_m", "cost", "cells"])
 
     return solve_windows(cells, parcels, work, task, PIECES)
